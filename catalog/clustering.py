@@ -8,6 +8,11 @@ from stringloom.functions.text import words
 from stringloom.operators import neighbours, vectors
 from stringloom.operators.clusters import numbering
 from stringloom.operators.clusters.dbscan import dbscan
+from stringloom.operators.clusters.hdbscan import hdbscan
+from stringloom.operators.clusters.kmeans import kmeans
+from stringloom.operators.clusters.optics import optics_at
+from stringloom.operators.clusters.spectral import spectral
+from stringloom.operators.clusters.ward import agglomerative
 from stringloom.plans.scratch import scratch_path, written
 from stringloom.sources import sinks
 
@@ -152,3 +157,65 @@ def cluster_sink(spark, sf):
 @query("cluster_sizes", f"""{_dbscan_sql(DOCS, 0.2, 3)} SELECT cluster, count(*) AS rows, min(id) AS first_id FROM result GROUP BY cluster""")
 def cluster_sizes(spark, sf):
     return numbering.cluster_summary(dbscan(strings(spark, sf), eps=0.2, min_samples=3))
+
+
+# ---- hierarchical density clusters ---------------------------------------------------------------------------
+
+@query("hdbscan_documents")
+def hdbscan_documents(spark, sf):
+    return hdbscan(strings(spark, sf), min_samples=4, min_cluster_size=3, max_dist=0.5)
+
+
+@query("hdbscan_parts")
+def hdbscan_parts(spark, sf):
+    return hdbscan(strings(spark, sf, "part"), min_samples=4, min_cluster_size=3)
+
+
+# ---- ordering cut at a radius --------------------------------------------------------------------------------
+
+def _optics_sql(base: str, eps: float, min_samples: int) -> str:
+    cut = "WHERE d.vec NOT IN (SELECT id FROM cores) GROUP BY d.vec"
+    # a border row joins a component of other rows only when that component starts first
+    return _dbscan_sql(base, eps, min_samples).replace(cut, cut + " HAVING min(r.root) < d.vec")
+
+
+@query("optics_documents", f"{_optics_sql(DOCS, 0.5, 5)} SELECT * FROM result")
+def optics_documents(spark, sf):
+    return optics_at(strings(spark, sf), min_samples=5, max_eps=0.5)
+
+
+@query("optics_parts", f"{_optics_sql(PARTS, 0.2, 5)} SELECT * FROM result")
+def optics_parts(spark, sf):
+    return optics_at(strings(spark, sf, "part"), min_samples=5, max_eps=0.2)
+
+
+# ---- a given number of clusters ------------------------------------------------------------------------------
+
+@query("kmeans_documents")
+def kmeans_documents(spark, sf):
+    return kmeans(strings(spark, sf), 10)
+
+
+@query("kmeans_parts")
+def kmeans_parts(spark, sf):
+    return kmeans(strings(spark, sf, "part"), 10)
+
+
+@query("agglomerative_documents")
+def agglomerative_documents(spark, sf):
+    return agglomerative(strings(spark, sf), 8)
+
+
+@query("agglomerative_parts")
+def agglomerative_parts(spark, sf):
+    return agglomerative(strings(spark, sf, "part"), 8)
+
+
+@query("spectral_documents")
+def spectral_documents(spark, sf):
+    return spectral(strings(spark, sf), 6)
+
+
+@query("spectral_parts")
+def spectral_parts(spark, sf):
+    return spectral(strings(spark, sf, "part"), 6)

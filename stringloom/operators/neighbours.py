@@ -14,6 +14,7 @@ from ..functions.text import unit_distance
 from ..plans.scratch import written
 
 TOLERANCE = 1e-9
+SAME = 1e-7  # rounding of the dot product reaches about 4e-8 for parallel vectors
 BLOCK = 2_000
 HOT_LISTS = 10_000
 NO_SHARED_TERM = math.sqrt(2.0)
@@ -103,6 +104,7 @@ def close_pairs(vectors: DataFrame, max_dist: float) -> DataFrame:
         candidates.join(side["a"], "a").join(side["b"], "b")
         .select("a", "b", unit_distance(cosine("t_a", "w_a", "t_b", "w_b")).alias("dist"), "copies_a", "copies_b")
         .where(F.col("dist") <= max_dist + TOLERANCE)
+        .withColumn("dist", F.when(F.col("dist") < SAME, 0.0).otherwise(F.col("dist")))
     )
     if max_dist + TOLERANCE >= 1.0:
         # the wordless rows are one collapsed vector, at distance 1 from every other

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import smoothed_idf, words
 from ..plans.ranking import with_position
-from ..plans.scratch import written
+from ..plans.scratch import scratch_path, written
 from ..plans.skew import salted_join
 
 
@@ -19,6 +21,7 @@ class TermVectors(NamedTuple):
     terms: DataFrame     # term, df, idf, rank (0 = rarest)
     rows: int
     entries: int         # stored (vector, term) pairs
+    vocabulary: int
 
 
 class NoWords(ValueError):
@@ -65,7 +68,36 @@ def term_vectors(strings: DataFrame) -> TermVectors:
     empty = members.where((F.col("id") == F.col("vec")) & (F.col("key") == F.sha2(F.lit(""), 256))).select(
         "vec", "copies", F.array().cast("array<bigint>").alias("terms"), F.array().cast("array<double>").alias("weights"))
     vectors = written(packed.unionByName(empty), "vectors")
-    return TermVectors(members.select("id", "vec", "copies"), vectors, terms, rows, entries)
+    return TermVectors(members.select("id", "vec", "copies"), vectors, terms, rows, entries, terms.count())
+
+
+def long_weights(vectors: DataFrame) -> DataFrame:
+    """(vec, copies, term, weight): one row per stored entry."""
+    return vectors.select("vec", "copies", F.explode(F.arrays_zip("terms", "weights")).alias("e")).select(
+        "vec", "copies", F.col("e.terms").alias("term"), F.col("e.weights").alias("weight"))
+
+
+def ml_features(vectors: DataFrame, vocabulary: int, width: int | None = None) -> DataFrame:
+    """(vec, copies, features) with sparse ML vectors; ``width`` folds the vocabulary into that many columns.
+
+    The stored layout of an ML vector is a plain struct, so a table written as the struct is read back as vectors
+    and no row passes through Python.
+    """
+    indices, values, size = F.col("terms").cast("array<int>"), F.col("weights"), vocabulary
+    if width is not None and width < vocabulary:
+        size = width
+        folded = long_weights(vectors).groupBy("vec", "copies", F.pmod("term", F.lit(width)).cast("int").alias("at")).agg(
+            F.sum("weight").alias("x")).groupBy("vec", "copies").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("e"))
+        blank = vectors.where(F.size("terms") == 0).select("vec", "copies", F.array().cast("array<struct<at:int,x:double>>").alias("e"))
+        vectors = folded.unionByName(blank)
+        indices, values = F.transform("e", lambda e: e["at"]), F.transform("e", lambda e: e["x"])
+    spark = vectors.sparkSession
+    path = scratch_path(spark, "features")
+    layout = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), indices.alias("indices"), values.alias("values"))
+    vectors.select("vec", "copies", layout.alias("features")).write.parquet(path)
+    schema = T.StructType([T.StructField("vec", T.LongType()), T.StructField("copies", T.LongType()),
+                           T.StructField("features", VectorUDT())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def row_weights(tv: TermVectors) -> DataFrame:
@@ -73,8 +105,7 @@ def row_weights(tv: TermVectors) -> DataFrame:
     per_row = salted_join(tv.members.drop("copies"), tv.vectors, "vec", "copies", tv.rows, "id")
     long = per_row.select("id", F.explode(F.arrays_zip("terms", "weights")).alias("e")).select(
         "id", F.col("e.terms").alias("rank"), F.col("e.weights").alias("weight"))
-    size = F.col("vectors_with") if "vectors_with" in tv.terms.columns else F.col("df")
-    terms = tv.terms.select("rank", "term", "df", size.alias("_size"))
+    terms = tv.terms.select("rank", "term", "df")
     return salted_join(long, terms, "rank", "df", tv.entries, "id").select("id", "term", "weight")
 
 

@@ -31,3 +31,12 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, rows_per_key: str, to
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = one.withColumn("_salt", F.explode(salts))
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def lookup_join(many: DataFrame, one: DataFrame, key: str, total: int, spread_by: str, how: str = "left") -> DataFrame:
+    """``salted_join`` for a many-side whose key sizes are not known yet; small inputs join directly."""
+    if total <= 100_000:
+        return many.join(one, key, how)
+    sizes = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    sized = one.join(sizes, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    return salted_join(many, sized, key, "_n", total, spread_by, how).drop("_n")
