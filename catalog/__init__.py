@@ -8,10 +8,10 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-from . import basics, clustering
+from . import basics, clustering, learning
 
-QUERIES = {**basics.QUERIES, **clustering.QUERIES}
-SQL = {**basics.SQL, **clustering.SQL}
+QUERIES = {**basics.QUERIES, **clustering.QUERIES, **learning.QUERIES}
+SQL = {**basics.SQL, **clustering.SQL, **learning.SQL}
 
 
 def ship(spark: SparkSession) -> None:
