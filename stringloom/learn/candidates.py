@@ -25,22 +25,21 @@ ENSEMBLE = "WeightedEnsemble_L2Best"
 
 
 def _learners(seed: int) -> dict:
-    """Learner and feature columns of each candidate; trees get fewer, hashed columns."""
+    """Candidates by name; trees read the narrow feature columns."""
     return {
-        "LogisticRegression": (LogisticRegression(maxIter=50, regParam=1e-4), 1 << 16),
-        "NaiveBayes": (NaiveBayes(), 1 << 16),
-        "DecisionTree": (DecisionTreeClassifier(maxDepth=8, seed=seed), 1 << 10),
-        "RandomForest": (RandomForestClassifier(numTrees=20, maxDepth=8, seed=seed), 1 << 10),
+        "LogisticRegression": LogisticRegression(featuresCol="wide", maxIter=50, regParam=1e-4),
+        "NaiveBayes": NaiveBayes(featuresCol="wide"),
+        "DecisionTree": DecisionTreeClassifier(featuresCol="narrow", maxDepth=8, seed=seed),
+        "RandomForest": RandomForestClassifier(featuresCol="narrow", numTrees=20, maxDepth=8, seed=seed),
     }
 
 
-def _stages(learner, width: int) -> Pipeline:
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False, toLowercase=True),
-        HashingTF(inputCol="words", outputCol="counts", numFeatures=width),
-        IDF(inputCol="counts", outputCol="features"),
-        learner.setFeaturesCol("features").setLabelCol("target"),
-    ])
+def _features() -> Pipeline:
+    """Hashed word counts weighed by idf, in a wide and a narrow form; both widths are fixed."""
+    stages = [RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False, toLowercase=True)]
+    for name, width in (("wide", 1 << 16), ("narrow", 1 << 10)):
+        stages += [HashingTF(inputCol="words", outputCol=f"{name}_counts", numFeatures=width), IDF(inputCol=f"{name}_counts", outputCol=name)]
+    return Pipeline(stages=stages)
 
 
 def joined_text(columns: Sequence[str]) -> Column:
@@ -63,6 +62,7 @@ def weighted_average(arrays: Sequence[Column], weights: Sequence[float]) -> Colu
 class TrainedModels:
     labels: list[str]
     text_columns: list[str]
+    features: PipelineModel
     models: dict[str, PipelineModel]
     weights: dict[str, float]
     board: list[dict] = field(default_factory=list)
@@ -80,16 +80,16 @@ class TrainedModels:
         """``rows`` with ``classes`` of the named model (the best by default), in one pass over the rows."""
         name = model_name or self.best
         parts = self.weights if name == ENSEMBLE else {name: 1.0}
-        out, arrays = rows.withColumn("text", joined_text(self.text_columns)), []
+        named = [F.col(f"`{c}`") for c in rows.columns]
+        out = self.features.transform(rows.withColumn("text", joined_text(self.text_columns))).select(*named, "wide", "narrow")
         for part in parts:
-            keep = out.columns
             scored = self.models[part].transform(out)
-            out = scored.select(*[F.col(f"`{c}`") for c in keep], vector_to_array("probability").alias(f"p_{part}"))
-            arrays.append(F.col(f"p_{part}"))
-        mixed = weighted_average(arrays, list(parts.values()))
-        return out.withColumn("classes", class_array(mixed, self.labels)).drop("text", *[f"p_{p}" for p in parts])
+            out = scored.select(*[F.col(f"`{c}`") for c in out.columns], vector_to_array("probability").alias(f"p_{part}"))
+        mixed = weighted_average([F.col(f"p_{p}") for p in parts], list(parts.values()))
+        return out.select(*named, class_array(mixed, self.labels).alias("classes"))
 
     def save(self, path: str) -> None:
+        self.features.write().save(f"{path}/features")
         for name, model in self.models.items():
             model.write().save(f"{path}/models/{name}")
         spark = SparkSession.getActiveSession()
@@ -101,7 +101,7 @@ class TrainedModels:
 def load_models(spark: SparkSession, path: str) -> TrainedModels:
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
     models = {name: PipelineModel.load(f"{path}/models/{name}") for name in meta["models"]}
-    return TrainedModels(meta["labels"], meta["text_columns"], models, meta["weights"], meta["board"])
+    return TrainedModels(meta["labels"], meta["text_columns"], PipelineModel.load(f"{path}/features"), models, meta["weights"], meta["board"])
 
 
 def ensemble_weights(out_of_fold: DataFrame, names: Sequence[str], steps: int = 10) -> tuple[dict[str, float], float]:
@@ -137,13 +137,14 @@ def train_candidates(rows: DataFrame, label: str, text_columns: Sequence[str], k
         F.col(key).alias("key"), F.col(label).cast("string").alias("label"), joined_text(text_columns).alias("text"),
         F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).alias("fold"))
     indexer: StringIndexerModel = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc").fit(data)
-    data = written(indexer.transform(data), "training")
+    features = _features().fit(data)
+    data = written(features.transform(indexer.transform(data)).select("key", "target", "fold", "wide", "narrow"), "training")
     total = data.count()
     models, board, held = {}, [], None
-    for name, (learner, width) in _learners(seed).items():
+    for name, learner in _learners(seed).items():
         if name in set(exclude) or (models and time.monotonic() - started > time_limit):
             continue
-        pipe, fit_time, pred_time, parts = _stages(learner, width), 0.0, 0.0, []
+        pipe, fit_time, parts = Pipeline(stages=[learner.setLabelCol("target")]), 0.0, []
         for fold in range(folds):
             begun = time.monotonic()
             model = pipe.fit(data.where(F.col("fold") != fold))
@@ -165,4 +166,4 @@ def train_candidates(rows: DataFrame, label: str, text_columns: Sequence[str], k
     weights, mixed = ensemble_weights(written(held, "held_out"), list(models))
     board.append({"model": ENSEMBLE, "score": mixed, "fit_time": sum(b["fit_time"] for b in board if b["model"] in weights),
                   "pred_time": sum(b["pred_time"] for b in board if b["model"] in weights)})
-    return TrainedModels(indexer.labels, list(text_columns), models, weights, board)
+    return TrainedModels(indexer.labels, list(text_columns), features, models, weights, board)
