@@ -54,7 +54,10 @@ def class_array(probs: Column, labels: Sequence[str]) -> Column:
 
 def weighted_average(arrays: Sequence[Column], weights: Sequence[float]) -> Column:
     """Element-wise average of probability arrays."""
-    scaled = [F.transform(a, lambda p, w=w: p * F.lit(w / sum(weights))) for a, w in zip(arrays, weights)]
+    def scaled_by(array: Column, share: float) -> Column:
+        return F.transform(array, lambda p: p * F.lit(share))
+
+    scaled = [scaled_by(a, w / sum(weights)) for a, w in zip(arrays, weights)]
     return reduce(lambda x, y: F.zip_with(x, y, lambda p, q: p + q), scaled)
 
 

@@ -13,6 +13,7 @@ from ..functions.text import smoothed_idf, words
 from ..plans.ranking import with_position
 from ..plans.scratch import scratch_path, written
 from ..plans.skew import salted_join
+from ..plans.spread import spread
 
 
 class TermVectors(NamedTuple):
@@ -39,8 +40,8 @@ def term_vectors(strings: DataFrame) -> TermVectors:
     Strings with the same word counts have the same vector, so they are collapsed first (``vec`` is the
     smallest of their ids) and a group of copies of any size costs one vector.
     """
-    present = strings.where(F.col("string").isNotNull())
-    key = F.sha2(F.array_join(F.array_sort(words(F.col("string"))), " "), 256)
+    present = spread(strings.where(F.col("string").isNotNull()))
+    key = F.sha2(F.array_join(F.sort_array(words(F.col("string"))), " "), 256)
     keyed = written(present.select("id", key.alias("key")), "keys")
     groups = keyed.groupBy("key").agg(F.min("id").alias("vec"), F.count(F.lit(1)).alias("copies"))
     rows = keyed.count()
@@ -61,7 +62,7 @@ def term_vectors(strings: DataFrame) -> TermVectors:
     # a vector's terms are bounded by its own text
     packed = (
         weighted.groupBy("vec", "copies")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", raw.alias("x")))).alias("e"), F.sqrt(F.sum(raw * raw)).alias("norm"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", raw.alias("x")))).alias("e"), F.sqrt(F.sum(raw * raw)).alias("norm"))
         .select("vec", "copies", F.transform("e", lambda e: e["rank"]).alias("terms"),
                 F.transform("e", lambda e: e["x"] / F.col("norm")).alias("weights"))
     )
@@ -87,7 +88,7 @@ def ml_features(vectors: DataFrame, vocabulary: int, width: int | None = None) -
     if width is not None and width < vocabulary:
         size = width
         folded = long_weights(vectors).groupBy("vec", "copies", F.pmod("term", F.lit(width)).cast("int").alias("at")).agg(
-            F.sum("weight").alias("x")).groupBy("vec", "copies").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("e"))
+            F.sum("weight").alias("x")).groupBy("vec", "copies").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("e"))
         blank = vectors.where(F.size("terms") == 0).select("vec", "copies", F.array().cast("array<struct<at:int,x:double>>").alias("e"))
         vectors = folded.unionByName(blank)
         indices, values = F.transform("e", lambda e: e["at"]), F.transform("e", lambda e: e["x"])

@@ -53,7 +53,7 @@ def split_tolerant(spark: SparkSession, path: str | list[str], schema: T.StructT
     """(rows, rejected lines): lines with too many fields are set aside, short lines end in NULLs.
 
     Works on text lines, so the outcome does not depend on which columns a query selects. A quoted field
-    must not span lines. The header is the first line of each file.
+    must not span lines. Lines equal to the header are taken as headers, since files may be split anywhere.
     """
     paths = [path] if isinstance(path, str) else list(path)
     _require_files(spark, paths)
