@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..plans.scratch import written
 from ..plans.skew import lookup_join
+from ..plans.spread import spread
 
 MAX_CLASSES = 10_000
 
@@ -41,7 +42,7 @@ def load_word_model(spark: SparkSession, path: str) -> WordModel:
 
 def fit_word_model(rows: DataFrame, label: str, text: str = "string") -> WordModel:
     """Add-one smoothed counts of (label, term); rows without a label are left out."""
-    known = rows.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    known = spread(rows.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text")))
     sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").limit(MAX_CLASSES + 1).collect()
     if len(sizes) > MAX_CLASSES:
         raise TooManyClasses(f"more than {MAX_CLASSES} classes")
@@ -69,7 +70,7 @@ def score_words(model: WordModel, rows: DataFrame, key: str = "id", text: str =
 
     log(0 + 1) is zero, so only terms a class has seen add to its sum and the join stays sparse.
     """
-    tf = written(rows.select(F.col(key).alias("_id"), F.explode(words(F.col(text))).alias("term")).groupBy("_id", "term").agg(F.count(F.lit(1)).alias("tf")), "scored_words")
+    tf = written(spread(rows.select(F.col(key).alias("_id"), F.col(text).alias("_text"))).select("_id", F.explode(words(F.col("_text"))).alias("term")).groupBy("_id", "term").agg(F.count(F.lit(1)).alias("tf")), "scored_words")
     hits = lookup_join(tf, model.terms, "term", tf.count(), "_id", "inner")
     length = hits.groupBy("_id").agg(F.sum("tf").alias("length"))
     sums = hits.select("_id", "tf", F.explode("entries").alias("e")).groupBy("_id", F.col("e.at").alias("at")).agg(F.sum(F.col("tf") * F.col("e.x")).alias("x"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 HOT_KEYS = 1_000
 SALTS = 64
+SMALL = 100_000  # rows one task handles without trouble, whatever their keys
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, rows_per_key: str, total: int,
@@ -17,7 +18,7 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, rows_per_key: str, to
     hot above ``total / HOT_KEYS`` rows, so at most HOT_KEYS keys can be hot and their list is a bounded
     broadcast. Only the hot rows of ``one`` are repeated, once per salt.
     """
-    limit = max(total // HOT_KEYS, 100_000)
+    limit = max(total // HOT_KEYS, SMALL)
     is_hot = F.col(rows_per_key) > limit
     if total <= limit:
         return many.join(one, key, how)
@@ -35,7 +36,7 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, rows_per_key: str, to
 
 def lookup_join(many: DataFrame, one: DataFrame, key: str, total: int, spread_by: str, how: str = "left") -> DataFrame:
     """``salted_join`` for a many-side whose key sizes are not known yet; small inputs join directly."""
-    if total <= 100_000:
+    if total <= SMALL:
         return many.join(one, key, how)
     sizes = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     sized = one.join(sizes, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
