@@ -159,6 +159,12 @@ def cluster_sizes(spark, sf):
     return numbering.cluster_summary(dbscan(strings(spark, sf), eps=0.2, min_samples=3))
 
 
+@query("cluster_report_order", f"""{_dbscan_sql(DOCS, 0.2, 3)}
+  SELECT cluster, id, row_number() OVER (ORDER BY cluster, id) - 1 AS position FROM result""")
+def cluster_report_order(spark, sf):
+    return numbering.report_order(dbscan(strings(spark, sf), eps=0.2, min_samples=3))
+
+
 # ---- hierarchical density clusters ---------------------------------------------------------------------------
 
 @query("hdbscan_documents")

@@ -155,6 +155,21 @@ def multi_target_scoring(spark, sf):
     return frames[0].unionByName(frames[1])
 
 
+NAME_SQL = _words_sql("SELECT p_type AS label, p_brand AS string FROM part", "SELECT p_partkey AS id, p_brand AS string FROM part", "n_")
+
+
+@query("weighted_ensemble", f"""WITH {TYPE_SQL}, {NAME_SQL}
+  SELECT a.id, a.label, round(0.75 * a.prob + 0.25 * b.prob, 6) AS prob FROM probs a JOIN n_probs b ON a.id = b.id AND a.label = b.label""")
+def weighted_ensemble(spark, sf):
+    rows = _parts(spark, sf)
+    by_name = naive_bayes.score_words(naive_bayes.fit_word_model(rows, "p_type"), rows).withColumnRenamed("classes", "by_name")
+    model = naive_bayes.fit_word_model(rows, "p_type", "p_brand")
+    both = naive_bayes.score_words(model, by_name, text="p_brand")
+    probs = [F.transform(c, lambda e: e["prob"]) for c in ("by_name", "classes")]
+    mixed = candidates.class_array(candidates.weighted_average(probs, [3.0, 1.0]), model.labels)
+    return both.select("id", F.explode(mixed).alias("c")).select("id", "c.label", F.round("c.prob", 6).alias("prob"))
+
+
 _KEPT_SQL = f"""SELECT "NCM" AS id, "Dimension Value" AS string FROM ({RECORDS_SQL}) r
   WHERE "DataSourceName" = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_acctbal < 0 AND c.c_name = r."Owner")"""
 _BATCH = {t: _words_sql(f"SELECT {c} AS label, o_orderpriority AS string FROM orders", _KEPT_SQL, p)

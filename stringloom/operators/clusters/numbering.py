@@ -32,5 +32,10 @@ def cluster_table(clusters: DataFrame, strings: DataFrame) -> DataFrame:
     return clusters.join(strings, "id").select("cluster", "id", "string")
 
 
+def report_order(clusters: DataFrame) -> DataFrame:
+    """Rows with their place in the report: by cluster, then in input order."""
+    return with_position(clusters.select("cluster", "id"), ["cluster", "id"])
+
+
 def cluster_summary(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first_id"))
