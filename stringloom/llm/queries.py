@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, rules
+from . import minhash, rules, substrings
 from .runtime import table
 
 
@@ -15,6 +15,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to earlier documents."""
+    return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict on every document."""
     got = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -23,6 +28,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 
@@ -50,4 +56,15 @@ least as (select doc_id, min(root) as root from reach group by 1)
 select n.doc_id, cast(n.n as bigint) as n_shingles, coalesce(least(l.root, n.doc_id), n.doc_id) as component_id,
   coalesce(least(l.root, n.doc_id), n.doc_id) = n.doc_id as kept
 from n left join least l using (doc_id)""",
+    "op6_substring_dedup": f"""
+with w as materialized (select doc_id, {_WORDS.format("coalesce(text, '')")} as words from documents),
+p as materialized (
+  select doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) as h
+  from (select doc_id, words, unnest(range(1, len(words) - 48)) as i from w where len(words) >= 50)),
+f as (select h, min(doc_id) as low from p group by h),
+c as (select distinct p.doc_id, unnest(range(p.i, p.i + 50)) as i from p join f using (h) where p.doc_id > f.low),
+g as (select doc_id, list(i) as gone from c group by 1)
+select w.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+  sha256(coalesce(array_to_string(list_filter(words, lambda x, i: not coalesce(list_contains(gone, i), false)), ' '), '')) as kept_sha256
+from w left join g using (doc_id)""",
 }
