@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stringloom.llm import minhash, rules
+from stringloom.llm import decontaminate, minhash, rules
 from stringloom.llm.runtime import table, written
 
 
@@ -23,9 +23,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.one_of_each(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
 ]
 
 #: An isolation forest cannot be stated in SQL.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, rules, substrings
+from . import decontaminate, minhash, rules, substrings
 from .runtime import table
 
 
@@ -15,6 +15,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item in every document, at its nearest place."""
+    return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to earlier documents."""
     return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
@@ -28,6 +33,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
 }

@@ -10,6 +10,8 @@ import pyarrow as pa
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_NOT_LETTERS = np.zeros(256, dtype=bool)
+_NOT_LETTERS[[c for c in range(128) if not chr(c).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -45,7 +47,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 class Words:
     """Word positions of a string column. Word ``i`` is ``data[starts[i]:ends[i]]``; row ``r`` has words ``first[r]:first[r + 1]``."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, letters_only: bool = False):
         column = column.cast(pa.large_string()).fill_null("")
         if column.offset:
             column = pa.concat_arrays([column])
@@ -57,7 +59,7 @@ class Words:
         self.offsets = self.offsets - begin
         if lower:
             self.data = LOWER[self.data]
-        inside = ~_SPACES[self.data]
+        inside = ~(_NOT_LETTERS if letters_only else _SPACES)[self.data]
         previous = np.empty_like(inside)
         following = np.empty_like(inside)
         if len(inside):
@@ -77,6 +79,11 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def character(self, at: np.ndarray, rows: list[int] | np.ndarray) -> list[int]:
+        """Code-point positions within their rows of byte positions ``at``."""
+        begin = self.offsets[np.asarray(rows, dtype=np.int64)]
+        return [int(((self.data[a:b] & 0xC0) != 0x80).sum()) for a, b in zip(begin, at)]
+
     def hashes(self) -> np.ndarray:
         """One 64-bit hash for each word; equal words have equal hashes in every batch and task."""
         out = np.empty(len(self), dtype=np.uint64)
