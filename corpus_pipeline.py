@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stringloom.llm import decontaminate, minhash, rules
+from stringloom.llm import decontaminate, minhash, pii, rules
 from stringloom.llm.runtime import table, written
 
 
@@ -28,10 +28,16 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("personal_data", personal_data),
 ]
 
 #: An isolation forest cannot be stated in SQL.
