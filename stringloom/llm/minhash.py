@@ -7,8 +7,9 @@ union of two sketches estimates their Jaccard similarity and drops hopeless ones
 - A list key is a run of ``RUN`` neighbouring retained values; sets of at most ``LIMIT`` shingles are listed under each value of their prefix
   instead (n - ceil(t n) + 1 smallest values), which is exact. With k = 48 and t = 0.75 a pair of larger sets that just reaches the
   threshold shares no run of three with probability below 2e-7, and the estimate is allowed five standard deviations.
-- In each list all members are compared with one hub, never with each other. Lists that then still span several components are
-  compared in blocks inside tasks, which emit only pairs of different components whose sketches overlap enough.
+- In each list all members are compared with one hub, never with each other. Only where a hub's lists then still span several components do the
+  documents outside the hub's component meet the others: by a join for small hubs, else in blocks inside tasks that compare full sets and
+  return one link for each pair of components joined.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ WIDTH = 5
 THRESHOLD = 0.75
 SKETCH = 48
 RUN = 3
-#: Lists up to this length are compared by a join, longer ones in blocks of this many members.
-BLOCK = 128
+#: A hub with up to this many documents has the rest of its lists compared by a join; beyond, its documents meet in blocks of ``BLOCK``, by
+#: exact set sizes over ``COLUMNS`` shingles at a time.
+SMALL = 128
+BLOCK = 512
+COLUMNS = 4_096
 
 
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
@@ -116,34 +120,61 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float, k: int) ->
     return joined.where(100 * low >= round(100 * threshold) * high).where(_estimate_passes(threshold, k)).select("a", "b")
 
 
-def _blocks(threshold: float, k: int):
-    """Pairs within (or between) blocks of one list: different components and enough shared sketch values."""
-    slack = 5 * math.sqrt(threshold * (1 - threshold) / k)
+def _sets(width: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = Words(batch.column(1), lower=True)
+            hashes = words.hashes()
+            own = [shingle_set(hashes[words.first[r]:words.first[r + 1]], width) for r in range(words.rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+    return scan
+
+
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all left with all right sets, by blocks of the values that both sides have."""
+    flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+    (lv, lr), (rv, rr) = flat(left), flat(right)
+    common = np.intersect1d(lv, rv)
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    for begin in range(0, len(common), COLUMNS):
+        values = common[begin:begin + COLUMNS]
+        sides = []
+        for v, r, n in ((lv, lr, len(left)), (rv, rr, len(right))):
+            at = np.minimum(np.searchsorted(values, v), len(values) - 1)
+            met = values[at] == v
+            marks = np.zeros((n, len(values)), dtype=np.float32)
+            marks[r[met], at[met]] = 1
+            sides.append(marks)
+        shared += sides[0] @ sides[1].T
+    return shared
+
+
+def _block_links(threshold: float):
+    """Exact links between two blocks of one hub's documents, one for each pair of components that they join."""
+    hundredths = round(100 * threshold)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(group["x"].iloc[0]), int(group["y"].iloc[0])
-        left = group[group["block"] == x]
-        right = left if x == y else group[group["block"] == y]
-        values = np.unique(np.concatenate([*left["sketch"], *right["sketch"]]))
-
-        def marks(side: pd.DataFrame) -> np.ndarray:
-            out = np.zeros((len(side), len(values)), dtype=np.float32)
-            for r, s in enumerate(side["sketch"]):
-                out[r, np.searchsorted(values, s)] = 1
-            return out
-
-        a, b = marks(left), marks(right)
-        often = (a.sum(axis=0) > 0) & (b.sum(axis=0) > 0)
-        shared = a[:, often] @ b[:, often].T
-        na, nb = left["n_shingles"].to_numpy()[:, None], right["n_shingles"].to_numpy()[None, :]
-        low, high = np.minimum(na, nb), np.maximum(na, nb)
-        good = (shared >= (threshold - slack) * np.minimum(k, high)) & (low >= (threshold - 1e-9) * high)
-        good &= left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]
-        if x == y:
-            good &= np.triu(np.ones_like(good), 1)
-        i, j = np.nonzero(good)
-        ids = left["doc_id"].to_numpy()[i], right["doc_id"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(*ids), "b": np.maximum(*ids)})
+        left, right = group[group["side"] == 0], group[group["side"] == 1]
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            shared = _shared_counts(left["shingles"].tolist(), right["shingles"].tolist())
+            sizes = left["n_shingles"].to_numpy()[:, None] + right["n_shingles"].to_numpy()[None, :]
+            roots = left["root"].to_numpy(), right["root"].to_numpy()
+            i, j = np.nonzero((100 * shared >= hundredths * (sizes - shared)) & (roots[0][:, None] != roots[1][None, :]))
+            _, first = np.unique(np.stack([roots[0][i], roots[1][j]]), axis=1, return_index=True)
+            head: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while head.get(x, x) != x:
+                    x = head[x]
+                return x
+
+            for k in first.tolist():
+                x, y = find(int(roots[0][i[k]])), find(int(roots[1][j[k]]))
+                if x != y:
+                    head[max(x, y)] = min(x, y)
+                    out.append((int(left["doc_id"].iloc[i[k]]), int(right["doc_id"].iloc[j[k]])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
     return compare
 
 
@@ -178,25 +209,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = written(_verified(_estimated(pairs, nodes, threshold, k), texts, width, threshold).distinct(), "links")
     roots = written(components(links), "roots")
 
-    # lists of three or more that still span several components: their other pairs are compared too
-    open_members = members.where("n > 2").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    spans = open_members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rest = open_members.join(spans, "key").join(nodes, "doc_id")
-    short = rest.where(F.col("n") <= BLOCK).select("key", "doc_id", "root", "hub", "n_shingles")
+    # hubs whose lists still span several components: there the documents outside the hub's component meet all others
+    known = roots.withColumnRenamed("node", "doc_id")
+    met = members.where("n > 2").join(known, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    of_hub = met.select("hub", "doc_id", "root").distinct()
+    stray = of_hub.join(of_hub.where("doc_id = hub").select("hub", F.col("root").alias("own")), "hub").withColumn("stray", F.col("root") != F.col("own"))
+    stray = written(stray.drop("own"), "strays")
+    open_hubs = written(stray.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("stray").cast("int")).alias("strays")).where("strays > 0"), "open")
+
+    short = met.join(open_hubs.where(F.col("size") <= SMALL).select("hub"), "hub").join(nodes.select("doc_id", "n_shingles"), "doc_id")
+    short = short.select("key", "doc_id", "root", "hub", "n_shingles")
     other = short.select("key", *(F.col(c).alias("o_" + c) for c in ("doc_id", "root", "n_shingles")))
     low, high = F.least("n_shingles", "o_n_shingles"), F.greatest("n_shingles", "o_n_shingles")
     near = (short.join(other, "key").where("doc_id < o_doc_id AND root <> o_root AND doc_id <> hub")
-            .where(100 * low >= round(100 * threshold) * high).select(F.col("doc_id").alias("a"), F.col("o_doc_id").alias("b")))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    long = (rest.where(F.col("n") > BLOCK).withColumn("block", own)
-            .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .withColumn("x", F.least("block", "with")).withColumn("y", F.greatest("block", "with"))
-            .select("key", "x", "y", "block", "doc_id", "root", "n_shingles", "sketch"))
-    far = long.groupBy("key", "x", "y").applyInPandas(_blocks(threshold, k), "a long, b long")
-    more = written(near.unionByName(far).distinct(), "more")
-    found = _verified(_estimated(more, nodes, threshold, k), texts, width, threshold)
-    late = written(links.unionByName(found).distinct(), "links")
+            .where(100 * low >= round(100 * threshold) * high).select(F.col("doc_id").alias("a"), F.col("o_doc_id").alias("b")).distinct())
+    found = _verified(_estimated(near, nodes, threshold, k), texts, width, threshold)
+
+    long = stray.join(open_hubs.where(F.col("size") > SMALL), "hub")
+    asked = long.select("doc_id").distinct()
+    sets_of = texts.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>")
+    rows_of = long.join(nodes.select("doc_id", "n_shingles"), "doc_id").join(written(sets_of, "sets"), "doc_id")
+    blocks = {0: F.ceil(F.col("strays") / BLOCK).cast("int"), 1: F.ceil(F.col("size") / BLOCK).cast("int")}
+    own = lambda side: F.pmod(F.xxhash64("doc_id", F.lit(side)), blocks[side]).cast("int")
+    every = lambda side: F.explode(F.sequence(F.lit(0), blocks[side] - 1))
+    dealt = (rows_of.where("stray").withColumn("x", own(0)).withColumn("y", every(1)).withColumn("side", F.lit(0))
+             .unionByName(rows_of.withColumn("y", own(1)).withColumn("x", every(0)).withColumn("side", F.lit(1))))
+    far = (dealt.select("hub", "x", "y", "side", "doc_id", "root", "n_shingles", "shingles").groupBy("hub", "x", "y")
+           .applyInPandas(_block_links(threshold), "a long, b long"))
+
+    late = written(links.unionByName(found).unionByName(far).distinct(), "links")
     roots = written(components(late), "roots")
 
     answer = firsts.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("component"))
