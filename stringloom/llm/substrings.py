@@ -22,6 +22,7 @@ from .words import Words, mixed, powers, sequence_hash, signed, window_hashes
 
 WINDOW = 50
 ROUNDS = 8
+MARK = (1 << 31) - 1
 
 
 def recompressed(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,6 +67,7 @@ def recompressed(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) ->
 
 
 def _symbols(rounds: int, window: int):
+    """One row for each document: number of words, digest of its words, and the symbols whose range a window can cover."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = Words(batch.column(1))
@@ -74,7 +76,12 @@ def _symbols(rounds: int, window: int):
             fits = (high - low <= window) & (low >= 0)
             fits[fits] &= (low[fits] >= words.first[row[fits]]) & (high[fits] <= words.first[row[fits] + 1])
             pairs = np.unique(np.stack([row[fits], signed(names[fits])], axis=1), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1])], names=["doc_id", "name"])
+            bounds = np.searchsorted(pairs[:, 0], np.arange(words.rows + 1))
+            digests = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(words.counts(), pa.int64()), pa.array(digests),
+                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pairs[:, 1], pa.int64()))],
+                names=["doc_id", "n_words", "whole", "names"])
     return scan
 
 
@@ -104,16 +111,15 @@ def _candidates(rounds: int, window: int):
             by_row = np.searchsorted(starts, words.first)
             one = signed(window_hashes(hashes, window))
             two = (window_hashes(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), window) >> np.uint64(33)).astype(np.int32)
-            place = starts - np.repeat(words.first[:-1], np.diff(by_row))
+            # a place also tells rows apart that share an id
+            mark = (batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64) & MARK) << 32
+            place = starts - np.repeat(words.first[:-1], np.diff(by_row)) + np.repeat(mark, np.diff(by_row))
             split = lambda x, kind: pa.ListArray.from_arrays(pa.array(by_row, pa.int32()), pa.array(x, kind))
-            texts = batch.column(1).to_pylist()
-            plain = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in texts]
-            asked = np.diff(by_row) > 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words.counts(), pa.int64()), pa.array(plain),
-                 pa.array([t if a else None for t, a in zip(texts, asked)], pa.string()),
-                 split(place, pa.int32()), split(one[starts] if len(starts) else [], pa.int64()), split(two[starts] if len(starts) else [], pa.int32())],
-                names=["doc_id", "n_words", "whole", "text", "places", "one", "two"])
+            asked = pa.array(np.diff(by_row) > 0)
+            out = pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), split(place, pa.int64()), split(one[starts] if len(starts) else [], pa.int64()),
+                 split(two[starts] if len(starts) else [], pa.int32())], names=["doc_id", "text", "places", "one", "two"])
+            yield out.filter(asked)
     return scan
 
 
@@ -121,18 +127,20 @@ def _without(window: int):
     """Texts without the words of the listed windows; kept words joined by one space."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, texts = [], []
-            for text, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            removed, texts, digests = [], [], []
+            for text, places, key in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
                 words = (text or "").encode().split()
                 change = np.zeros(len(words) + 1, dtype=np.int64)
                 at = np.array(places or [], dtype=np.int64)
+                at = at[at >> 32 == key & MARK] & ((1 << 32) - 1)
                 np.add.at(change, at, 1)
                 np.add.at(change, at + window, -1)
                 gone = np.cumsum(change)[:-1] > 0
                 removed.append(int(gone.sum()))
                 texts.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
-                                             names=["doc_id", "n_words", "n_removed", "kept_text"])
+                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
+                                             names=["doc_id", "whole", "n_removed", "kept_text"])
     return scan
 
 
@@ -146,25 +154,35 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    named = rows.where(F.col("doc_id").isNotNull())
-    postings = written(named.mapInArrow(_symbols(rounds, window), "doc_id long, name long"), "symbols")
+    schema = "doc_id long, n_words long, whole string, names array<long>"
+    symbols = written(rows.mapInArrow(_symbols(rounds, window), schema), "symbols")
+    plain = symbols.drop("names")
+    # of documents with the same words only the first takes part; the others lose every word or, being short, none
+    single = plain.where("doc_id IS NOT NULL AND n_words > 0").groupBy("doc_id").agg(F.min("whole").alias("whole"), F.max("whole").alias("other"))
+    single = single.where("whole = other").select("doc_id", "whole")
+    firsts = single.groupBy("whole").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    copies = (single.join(firsts.where("first_id < last_id").select("whole", "first_id"), "whole").where("doc_id > first_id")
+              .select("doc_id", F.lit(True).alias("copy")))
+    copies = written(copies, "copies")
+
+    own = symbols.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
+    postings = own.select("doc_id", F.explode("names").alias("name"))
     shared = postings.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
     of_doc = postings.join(shared, "name").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
-    schema = "doc_id long, n_words long, whole string, text string, places array<int>, one array<long>, two array<int>"
-    met = rows.join(of_doc, "doc_id", "left").select("doc_id", "text", "names").mapInArrow(_candidates(rounds, window), schema)
+    named = rows.where("doc_id IS NOT NULL AND text <> ''").join(of_doc, "doc_id", "left").join(copies, "doc_id", "left_anti")
+    named = named.select("doc_id", "text", "names", F.xxhash64("text").alias("key"))
+    met = named.mapInArrow(_candidates(rounds, window), "doc_id long, text string, places array<long>, one array<long>, two array<int>")
     met = written(met, "windows")
 
-    each = (met.where("doc_id IS NOT NULL AND size(places) > 0")
-            .select("doc_id", F.explode(F.arrays_zip("places", "one", "two")).alias("w")).select("doc_id", "w.*"))
-    first = each.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("one", "two", "low")
-    gone = (each.join(first, ["one", "two"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("places").alias("gone")))
-    asked = met.where("doc_id IS NOT NULL AND size(places) > 0").select("doc_id", "n_words", "whole", "text")
-    judged = asked.join(gone, "doc_id", "left")
-    none = F.lit(0).cast("long")
-    same = lambda x: x.select("doc_id", "n_words", none.alias("n_removed"), F.lit(None).cast("string").alias("kept_text"),
-                              F.col("whole").alias("kept_sha256"))
-    cut = (judged.where("gone IS NOT NULL").select("doc_id", "n_words", "text", "gone")
-           .mapInArrow(_without(window), "doc_id long, n_words long, n_removed long, kept_text string")
-           .withColumn("kept_sha256", F.sha2("kept_text", 256)))
-    rest = met.where("doc_id IS NULL OR size(places) = 0")
-    return cut.unionByName(same(judged.where("gone IS NULL"))).unionByName(same(rest))
+    each = met.select("doc_id", F.explode(F.arrays_zip("places", "one", "two")).alias("w")).select("doc_id", "w.*")
+    first = each.groupBy("one", "two").agg(F.min("doc_id").alias("low"))
+    gone = each.join(first, ["one", "two"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("places").alias("gone"))
+    cut = (met.select("doc_id", "text").join(gone, "doc_id").select("doc_id", "text", "gone", F.xxhash64("text").alias("key")).mapInArrow(_without(window), "doc_id long, whole string, n_removed long, kept_text string"))
+    cut = cut.dropDuplicates(["doc_id", "whole"]).withColumnRenamed("n_removed", "cut")
+    all_of = plain.join(copies, "doc_id", "left").join(cut, ["doc_id", "whole"], "left")
+    lost = F.col("copy") & (F.col("n_words") >= window)
+    return all_of.select(
+        "doc_id", "n_words",
+        F.when(lost, F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(lost, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
+        F.when(lost, F.sha2(F.lit(""), 256)).otherwise(F.coalesce(F.sha2("kept_text", 256), F.col("whole"))).alias("kept_sha256"))
