@@ -7,9 +7,8 @@ All stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from stringloom.llm import decontaminate, minhash, pii, rules
+from stringloom.llm import decontaminate, minhash, pieces, pii, rules
 from stringloom.llm.runtime import table, written
 
 
@@ -33,11 +32,17 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii.redacted(docs)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of the remaining texts in place of the texts."""
+    return pieces.encoded(docs).drop("text")
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("personal_data", personal_data),
+    ("tokens", tokens),
 ]
 
 #: An isolation forest cannot be stated in SQL.

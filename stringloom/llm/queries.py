@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, pii, rules, substrings
+from . import decontaminate, minhash, pieces, pii, rules, substrings
 from .runtime import table
 
 
@@ -15,6 +16,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = pieces.with_decoded(pieces.encoded(docs))
+    return back.select("doc_id", "n_tokens", "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item in every document, at its nearest place."""
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -38,6 +46,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_pii": op4_pii,
     "op6_substring_dedup": op6_substring_dedup,
