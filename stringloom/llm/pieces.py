@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import prepare
 from .words import mixed
@@ -343,8 +344,8 @@ def encoded(docs: DataFrame, text: str = "text", model: str = MODEL, ids: str =
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes, pa.int64())], names=[*rest, ids, n_tokens])
 
-    schema = rows.schema.add(ids, "array<int>").add(n_tokens, "long")
-    return rows.mapInArrow(scan, schema)
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(n_tokens, T.LongType())]
+    return rows.mapInArrow(scan, T.StructType([*rows.schema.fields, *more]))
 
 
 def with_decoded(rows: DataFrame, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -365,4 +366,4 @@ def with_decoded(rows: DataFrame, ids: str = "ids", text: str = "decoded", model
             texts = [None if not ok else decoded(flat[a:b].tolist(), v) for a, b, ok in zip(begins, ends, lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*rest, text])
 
-    return chosen.mapInArrow(scan, chosen.schema.add(text, "string"))
+    return chosen.mapInArrow(scan, T.StructType([*chosen.schema.fields, T.StructField(text, T.StringType())]))
