@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, languages, minhash, neighbours, pieces, pii, rules, substrings
+from . import decontaminate, html, languages, minhash, neighbours, pieces, pii, rules, substrings, toxicity
 from .runtime import table
 
 
@@ -59,6 +59,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *rules.COUNTS, "base_failed", "kept", "anomaly")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score and offending spans of every document."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
