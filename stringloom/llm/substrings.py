@@ -167,7 +167,9 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     own = symbols.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
     postings = own.select("doc_id", F.explode("names").alias("name"))
+    # written, so that the join below stands on plain exchanges and its hot keys are split at run time
     shared = postings.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
+    shared = written(shared, "shared")
     of_doc = postings.join(shared, "name").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
     named = rows.where("doc_id IS NOT NULL AND text <> ''").join(of_doc, "doc_id", "left").join(copies, "doc_id", "left_anti")
     named = named.select("doc_id", "text", "names", F.xxhash64("text").alias("key"))
@@ -175,7 +177,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = written(met, "windows")
 
     each = met.select("doc_id", F.explode(F.arrays_zip("places", "one", "two")).alias("w")).select("doc_id", "w.*")
-    first = each.groupBy("one", "two").agg(F.min("doc_id").alias("low"))
+    first = each.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    first = written(first, "first")
     gone = each.join(first, ["one", "two"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("places").alias("gone"))
     cut = (met.select("doc_id", "text").join(gone, "doc_id").select("doc_id", "text", "gone", F.xxhash64("text").alias("key")).mapInArrow(_without(window), "doc_id long, whole string, n_removed long, kept_text string"))
     cut = cut.dropDuplicates(["doc_id", "whole"]).withColumnRenamed("n_removed", "cut")
