@@ -12,7 +12,7 @@ from stringloom.operators import clean, report, search, tabular
 from stringloom.plans.scratch import scratch_path
 from stringloom.sources import delimited, sinks, textfiles, workbook
 
-from .tables import (DOCUMENT_LINES_SQL, RECORDS_SQL, TEXT_TREE_SQL, disregard, document_lines, records, saved_csv,
+from .tables import (DOCUMENT_LINES_SQL, RECORDS_SQL, TEXT_TREE_SQL, disregard, document_lines, records, saved_csv, saved_lines,
                      saved_text, packed_workbooks, table, text_tree)
 
 QUERIES, SQL = {}, {}
@@ -37,7 +37,11 @@ RECORD_STRINGS = "DataSourceName string, `Dimension Value` string, Owner string,
 
 @query("csv_scan", CUSTOMER_SQL)
 def csv_scan(spark, sf):
-    return delimited.read_delimited(spark, saved_csv(table(spark, sf, "customer")), CUSTOMER)
+    # two files with their columns in other orders and one column more than declared
+    customer = table(spark, sf, "customer")
+    turned = customer.where("c_custkey % 2 = 0").select("c_mktsegment", F.lit("x").alias("extra"), "c_acctbal", "c_name", "c_nationkey", "c_custkey")
+    paths = [saved_csv(customer.where("c_custkey % 2 = 1")), saved_csv(turned)]
+    return delimited.read_delimited(spark, paths, CUSTOMER)
 
 
 @query("csv_skip_bad_lines", """
@@ -50,9 +54,9 @@ def csv_skip_bad_lines(spark, sf):
             .when(F.col("o_orderkey") % 5 == 1, key)
             .when(F.col("o_orderkey") % 5 == 2, F.concat(key, F.lit(',"'), "o_orderpriority", F.lit('"')))
             .otherwise(F.concat_ws(",", key, "o_orderpriority")))
-    path = saved_text(table(spark, sf, "orders").select(line.alias("value")), "csv")
+    lines = table(spark, sf, "orders").select(line.alias("value"))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("string", T.StringType())])
-    return delimited.split_tolerant(spark, path, schema)[0]
+    return delimited.split_tolerant(spark, saved_lines(lines, '"id","string"'), schema)[0]
 
 
 @query("csv_rejected_lines", """
@@ -62,7 +66,7 @@ def csv_rejected_lines(spark, sf):
     line = F.when(F.col("o_orderkey") % 5 == 0,
                   F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority", "o_orderstatus")
                   ).otherwise(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority"))
-    path = saved_text(table(spark, sf, "orders").select(line.alias("value")), "csv")
+    path = saved_lines(table(spark, sf, "orders").select(line.alias("value")), "id,string")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("string", T.StringType())])
     return delimited.split_tolerant(spark, path, schema)[1].select("value", "fields")
 
@@ -214,9 +218,20 @@ def arrange_columns(spark, sf):
     return clean.prepare_records(records(spark, sf), KEPT).withColumnRenamed("", "blank")
 
 
-@query("required_columns", f"""SELECT count(*) AS rows FROM ({RECORDS_SQL})""")
+_REQUIRED = ", ".join(sorted(clean.REQUIRED))
+
+
+@query("required_columns", f"""
+  SELECT 'records' AS "table", count(*) AS rows, true AS ok, '' AS missing, '' AS extra FROM ({RECORDS_SQL})
+  UNION ALL SELECT 'customer', count(*), false, '{_REQUIRED}', 'c_acctbal, c_custkey, c_mktsegment, c_name, c_nationkey' FROM customer""")
 def required_columns(spark, sf):
-    return tabular.row_count(clean.require_columns(records(spark, sf)))
+    checks = [clean.column_report(records(spark, sf), "records"), clean.column_report(table(spark, sf, "customer"), "customer")]
+    return checks[0].unionByName(checks[1])
+
+
+@query("column_list", "SELECT CAST(cid + 1 AS INTEGER) AS index, name FROM pragma_table_info('customer')")
+def column_list(spark, sf):
+    return tabular.headers(table(spark, sf, "customer")).select(F.col("index").cast("int").alias("index"), "name")
 
 
 @query("kept_row_counts", f"""
@@ -305,9 +320,7 @@ def exclude_owners_nulls(spark, sf):
          (SELECT count(*) FROM ({RECORDS_SQL})) - count(*) AS rows_removed
   FROM ({RECORDS_SQL}) r WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_acctbal < 0 AND c.c_name = r."Owner")""")
 def exclusion_counts(spark, sf):
-    listed = disregard(spark, sf).select(F.col("Company").alias("Owner"), F.lit(True).alias("listed")).distinct()
-    marked = records(spark, sf).join(listed, "Owner", "left")
-    return clean.kept_counts(marked, F.col("listed").isNull())
+    return clean.exclusion_counts(records(spark, sf), disregard(spark, sf))
 
 
 # ---- aggregates ----------------------------------------------------------------------------------------------

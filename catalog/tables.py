@@ -76,6 +76,13 @@ def saved_text(lines: DataFrame, suffix: str) -> str:
     return path
 
 
+def saved_lines(lines: DataFrame, header: str) -> str:
+    """Write a one-column frame as files of lines, each with ``header`` as its first line."""
+    path = scratch_path(lines.sparkSession, "lines")
+    lines.toDF(header).write.options(header=True, sep="\x01", quote="", escape="", escapeQuotes=False).csv(path)
+    return path
+
+
 def text_tree(spark: SparkSession, sf_dir: str) -> list[str]:
     """Three directories of lines: pages (.html), documents (.txt) and events (.log)."""
     def split_lines(df, col):

@@ -40,8 +40,12 @@ def run_batch(records: DataFrame, exclusions: DataFrame, scorers: Mapping[str, S
             sinks.write_routed(routed, path)
             back = prepared.sparkSession.read.parquet(path)
             sinks.write_summary(report.confidence_histogram(back), f"{out}/confidence_distribution_{target.lower()}")
-            named = back.groupBy(F.concat_ws("_", F.col("bucket"), F.lit(target.lower())).alias("output"))
-            outputs.append(named.agg(F.count(F.lit(1)).alias("rows")))
+            # both routed outputs are listed, also without rows; rows without a confidence only where there are some
+            counted = back.select(*(F.count_if(F.col("bucket") == b).alias(b) for b in report.BUCKETS))
+            listed = counted.select(F.explode(F.array(*(
+                F.struct(F.lit(b).alias("bucket"), F.col(b).alias("rows")) for b in report.BUCKETS))).alias("o")).select("o.*")
+            outputs.append(listed.where((F.col("bucket") != report.UNROUTED) | (F.col("rows") > 0)).select(
+                F.concat_ws("_", "bucket", F.lit(target.lower())).alias("output"), "rows"))
             outputs.append(report.confidence_histogram(back).agg(F.sum("Count").alias("rows")).select(
                 F.lit(f"summary_{target.lower()}").alias("output"), "rows"))
     except Exception as error:

@@ -36,7 +36,9 @@ class WordModel:
 
 
 def load_word_model(spark: SparkSession, path: str) -> WordModel:
-    rows = spark.read.parquet(f"{path}/classes").orderBy("label").limit(MAX_CLASSES).collect()
+    rows = spark.read.parquet(f"{path}/classes").orderBy("label").limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise TooManyClasses(f"more than {MAX_CLASSES} classes")
     return WordModel(spark.read.parquet(f"{path}/terms"), [r.asDict() for r in rows])
 
 

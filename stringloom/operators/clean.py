@@ -37,6 +37,14 @@ def require_columns(df: DataFrame, required: Sequence[str] = REQUIRED) -> DataFr
     return df
 
 
+def column_report(df: DataFrame, name: str, required: Sequence[str] = REQUIRED) -> DataFrame:
+    """(table, rows, ok, missing, extra): the check of one table as a row, names sorted."""
+    check = check_columns(df, required)
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(name).alias("table"), "rows", F.lit(check.ok).alias("ok"), F.lit(", ".join(sorted(check.missing))).alias("missing"),
+        F.lit(", ".join(sorted(check.extra))).alias("extra"))
+
+
 def keep_source(df: DataFrame, source: str = KEPT_SOURCE, column: str = "DataSourceName") -> DataFrame:
     return df.where(F.col(column) == F.lit(source))
 
@@ -84,6 +92,14 @@ def kept_counts(df: DataFrame, keep: Column) -> DataFrame:
                   (F.count(F.lit(1)) - after).alias("rows_removed"))
 
 
+def exclusion_counts(df: DataFrame, listed: DataFrame, owner: str = "Owner", company: str | None = None) -> DataFrame:
+    """(rows_before, rows_after, rows_removed) of ``exclude_listed`` itself."""
+    after = exclude_listed(df, listed, owner, company).agg(F.count(F.lit(1)).alias("rows_after"))
+    # one row each side
+    both = df.agg(F.count(F.lit(1)).alias("rows_before")).join(F.broadcast(after))
+    return both.select("rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"))
+
+
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """Attach a row counter that fills in while another action runs."""
     counter = Observation(name)

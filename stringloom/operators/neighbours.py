@@ -89,7 +89,7 @@ def close_pairs(vectors: DataFrame, max_dist: float) -> DataFrame:
     if not 0 <= max_dist < NO_SHARED_TERM:
         raise ValueError("max_dist must be in [0, sqrt(2)): beyond it every pair of rows is a neighbour")
     t = 1.0 - max_dist * max_dist / 2.0
-    floor = max(t * t - TOLERANCE, TOLERANCE)
+    floor = max(t * t - TOLERANCE, t * t / 2)  # never above t * t
     lists = written(_blocked(_lists(vectors.where(F.size("terms") > 0), floor)), "postings")
     left, right = lists.alias("l"), lists.alias("r")
     candidates = (

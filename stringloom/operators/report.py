@@ -11,6 +11,8 @@ from ..functions.text import joined, three_decimals
 THRESHOLD = 0.90
 RANGES = ("0-0.2", "0.2-0.4", "0.4-0.6", "0.6-0.8", "0.8-1.0")
 EDGES = (0.2, 0.4, 0.6, 0.8)
+UNROUTED = "unrouted"
+BUCKETS = ("high", "review", UNROUTED)
 
 
 def top_classes(classes: Column, k: int = 3) -> Column:
@@ -38,7 +40,7 @@ def route(scored: DataFrame, threshold: float = THRESHOLD, confidence: str = "Co
     """Mark rows ``high``, ``review`` or, without a confidence, ``unrouted``."""
     value = F.col(confidence)
     return scored.withColumn("bucket", F.when(value >= threshold, "high").when(value < threshold, "review")
-                             .otherwise("unrouted"))
+                             .otherwise(UNROUTED))
 
 
 def bucket_counts(routed: DataFrame) -> DataFrame:

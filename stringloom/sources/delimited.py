@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null
+from ..operators.clean import MissingColumns
 
 BOM = "﻿"
 
@@ -25,16 +29,51 @@ def _require_files(spark: SparkSession, paths: list[str]) -> None:
             raise NoInputFiles(f"no files at {path}")
 
 
+def _files_by_header(spark: SparkSession, paths: list[str], sep: str, encoding: str) -> dict[tuple[str, ...], list[str]]:
+    """Files grouped by the column names of their first line; empty files have none and are left out.
+
+    Only the file list and one line of each file reach the driver. A name left blank becomes ``_c`` and its position.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    listing = spark.read.format("binaryFile").load(paths).select("path").orderBy("path").toLocalIterator()
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in listing:
+        path = jvm.org.apache.hadoop.fs.Path(row["path"])
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(path.getFileSystem(conf).open(path), encoding))
+        line = reader.readLine()
+        reader.close()
+        if line is not None:
+            names = next(csv.reader([line.removeprefix(BOM)], delimiter=sep), [])
+            groups.setdefault(tuple(n or f"_c{i}" for i, n in enumerate(names)), []).append(row["path"])
+    return groups
+
+
+def _file_schema(header: tuple[str, ...], schema: T.StructType, files: list[str]) -> T.StructType:
+    """The columns of a file in its own order, typed as declared; a declared column that the file lacks is an error."""
+    kinds = {f.name: f.dataType for f in schema.fields}
+    if missing := [name for name in kinds if header.count(name) != 1]:
+        raise MissingColumns(f"{files[0]} (and {len(files) - 1} more) has the columns {list(header)}, without one {missing}")
+    return T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in header])
+
+
+def _declared(spark: SparkSession, schema: T.StructType | str) -> T.StructType:
+    return spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+
+
 def read_delimited(spark: SparkSession, path: str | list[str], schema: T.StructType | str, sep: str = ",",
                    encoding: str = "UTF-8", na_step: bool = True) -> DataFrame:
-    """Header-first delimited scan with a declared schema; a leading BOM is ignored."""
+    """Header-first delimited scan: the declared columns by name, whatever their order in each file; a leading BOM is ignored."""
     paths = [path] if isinstance(path, str) else list(path)
     _require_files(spark, paths)
-    rows = (
-        spark.read.schema(schema)
-        .options(header=True, sep=sep, encoding=encoding, escape='"', enforceSchema=True)
-        .csv(paths)
-    )
+    wanted = _declared(spark, schema)
+    rows = spark.createDataFrame([], wanted)
+    for header, files in _files_by_header(spark, paths, sep, encoding).items():
+        part = (
+            spark.read.schema(_file_schema(header, wanted, files))
+            .options(header=True, sep=sep, encoding=encoding, escape='"', enforceSchema=True)
+            .csv([_as_pattern(f) for f in files])
+        )
+        rows = rows.unionByName(part.select(*(F.col(f"`{f.name}`") for f in wanted.fields)))
     return blank_to_null(rows) if na_step else rows
 
 
@@ -49,29 +88,44 @@ def _field_count(line: F.Column, sep: str) -> F.Column:
 
 
 def split_tolerant(spark: SparkSession, path: str | list[str], schema: T.StructType,
-                   sep: str = ",") -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected lines): lines with too many fields are set aside, short lines end in NULLs.
+                   sep: str = ",", encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected lines): lines with more fields than their file's header are set aside, short lines end in NULLs.
 
-    Works on text lines, so the outcome does not depend on which columns a query selects. A quoted field
-    must not span lines. Lines equal to the header are taken as headers, since files may be split anywhere.
+    Works on whole lines, so the outcome does not depend on which columns a query selects. A quoted field must not span lines. The first line of
+    each file is its header and binds the declared columns by name; a later line equal to it is data.
     """
     paths = [path] if isinstance(path, str) else list(path)
     _require_files(spark, paths)
-    header = sep.join(f.name for f in schema.fields)
-    lines = (
-        spark.read.text(paths)
-        .select("value", F.col("_metadata.file_path").alias("file"))
-        .where((F.length("value") > 0) & (F.regexp_replace("value", f"^{BOM}", "") != F.lit(header)))
-        .withColumn("fields", _field_count(F.col("value"), sep))
-    )
-    fits = F.col("fields") <= len(schema.fields)
-    parsed = F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "),
-                        {"sep": sep, "escape": '"', "mode": "PERMISSIVE"})
-    good = blank_to_null(lines.where(fits).select(parsed.alias("r")).select("r.*"))
-    rejected = lines.where(~fits).select("file", "value", "fields")
+    good = spark.createDataFrame([], schema)
+    rejected = spark.createDataFrame([], "file string, value string, fields int")
+    for header, files in _files_by_header(spark, paths, sep, encoding).items():
+        own = _file_schema(header, schema, files)
+        lines = (
+            # no quote and a separator that text does not hold: every line but the first of each file, as it stands
+            spark.read.schema("value string")
+            .options(header=True, sep="\x01", quote="", escape="", encoding=encoding, enforceSchema=True)
+            .csv([_as_pattern(f) for f in files])
+            .select("value", F.col("_metadata.file_path").alias("file"))
+            .where(F.length("value") > 0)
+            .withColumn("fields", _field_count(F.col("value"), sep))
+        )
+        fits = F.col("fields") <= len(header)
+        parsed = F.from_csv("value", F.lit(_ddl(own)), {"sep": sep, "escape": '"', "mode": "PERMISSIVE"})
+        named = lines.where(fits).select(parsed.alias("r")).select(*(F.col(f"r.`{f.name}`") for f in schema.fields))
+        good = good.unionByName(blank_to_null(named))
+        rejected = rejected.unionByName(lines.where(~fits).select("file", "value", "fields"))
     return good, rejected
 
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def _as_pattern(path: str) -> str:
+    """A file name as a glob that matches only itself."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
+
+
 def newest_file(spark: SparkSession, pattern: str) -> str:
     """Path of the most recently modified file matching ``pattern``; ties go to the greater path."""
     _require_files(spark, [pattern])

@@ -153,3 +153,35 @@ def test_row_counter_fills_with_the_action(spark):
     rows, counter = clean.observed(spark.range(7).toDF("x"), "seen")
     rows.collect()
     assert counter.get["rows"] == 7
+
+
+def test_columns_are_bound_by_name_in_every_file(spark):
+    one, two = saved(spark, ["string,id", "hello,1"]), saved(spark, ["\ufeffid,more,string", "2,x,bye"])
+    got = {(r["id"], r["string"]) for r in delimited.read_delimited(spark, [one, two], "id long, string string").collect()}
+    assert got == {(1, "hello"), (2, "bye")}
+    with pytest.raises(clean.MissingColumns):
+        delimited.read_delimited(spark, one, "id long, other string")
+
+
+def test_tolerant_reader_takes_each_files_own_header(spark):
+    one = saved(spark, ['"id","string"', "1,aa", "id,string", '"id","string"', "2,b,c"])
+    two = saved(spark, ["string,more,id", "x,y,3", "z", "p,q,4,r"])
+    rows, rejected = delimited.split_tolerant(spark, [one, two], ID_STRING)
+    got = sorted((str(r["id"]), r["string"]) for r in rows.collect())
+    assert got == sorted([("1", "aa"), ("id", "string"), ("id", "string"), ("3", "x"), ("None", "z")])
+    assert sorted((r["value"], r["fields"]) for r in rejected.collect()) == [("2,b,c", 3), ("p,q,4,r", 4)]
+
+
+def test_exclusion_counts_follow_the_exclusion(spark):
+    rows = spark.createDataFrame([("a",), ("b",), (None,)], "Owner string")
+    listed = spark.createDataFrame([("x", "a"), ("y", None)], "Code string, Company string")
+    assert tuple(clean.exclusion_counts(rows, listed).first()) == (3, 1, 2)
+
+
+def test_batch_lists_empty_outputs(spark):
+    from stringloom import batch
+    records = spark.createDataFrame([("S", "dv", f"o{i}", str(i), 2020, 1) for i in range(4)], "DataSourceName string, `Dimension Value` string, Owner string, NCM string, Year int, Month int")
+    sure = lambda r: r.withColumn("classes", F.array(F.struct(F.lit("k").alias("label"), F.lit(0.95).alias("prob"))))
+    got = batch.run_batch(records, records.select("NCM", F.lit("z").alias("Company")), {"Ingredient": sure, "Trademark": sure}, "S", scratch_path(spark, "batch"))
+    assert {r["output"]: r["rows"] for r in got.collect()} == {
+        f"{b}_{t}": n for t in ("ingredient", "trademark") for b, n in (("high", 4), ("review", 0), ("summary", 4))}

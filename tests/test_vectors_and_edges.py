@@ -70,6 +70,20 @@ def test_early_border_rows_are_noise_in_the_ordering_cut(spark):
     assert (got[0], got[4]) == (-1, 0)
 
 
+def test_copies_of_a_border_row_have_their_own_turn(spark):
+    rows = [(0, "dd bx"), (20, "dd bx"), (5, "aa bb cc dd"), (6, "aa n1a"), (7, "bb n2a"), (8, "cc n3a")]
+    got = {r["id"]: r["label"] for r in optics_at(spark.createDataFrame(rows, "id long, string string"), 5, 1.3).collect()}
+    assert got[0] == -1 and got[20] == 0 and got[5] == 0
+
+
+def test_join_keeps_pairs_near_the_outer_radius(spark):
+    from stringloom.operators.neighbours import close_pairs
+    unit = lambda x: [x, (1 - x * x) ** 0.5]
+    rows = [(0, 1, [4, 5], unit(2e-5)[::-1]), (1, 1, [5, 6], unit(1e-4)[::-1]), (2, 1, [7, 8], [0.6, 0.8])]
+    found = close_pairs(spark.createDataFrame(rows, "vec long, copies long, terms array<bigint>, weights array<double>"), 1.414213)
+    assert [(r["a"], r["b"]) for r in found.collect()] == [(0, 1)]
+
+
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_same_clusters_for_any_partitioning(spark, texts, parts):
     rows = frame(spark, texts).orderBy(F.rand(parts)).repartition(parts)
