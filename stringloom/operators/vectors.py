@@ -22,6 +22,7 @@ class TermVectors(NamedTuple):
     terms: DataFrame     # term, df, idf, rank (0 = rarest)
     rows: int
     entries: int         # stored (vector, term) pairs
+    row_entries: int     # (row, term) pairs, copies included
     vocabulary: int
 
 
@@ -40,20 +41,24 @@ def term_vectors(strings: DataFrame) -> TermVectors:
     Strings with the same word counts have the same vector, so they are collapsed first (``vec`` is the
     smallest of their ids) and a group of copies of any size costs one vector.
     """
+    # one pass over the texts: a row's sorted words give its key and, where a word differs from the one before, its term counts
     present = spread(strings.where(F.col("string").isNotNull()))
-    key = F.sha2(F.array_join(F.sort_array(words(F.col("string"))), " "), 256)
-    keyed = written(present.select("id", key.alias("key")), "keys")
-    groups = keyed.groupBy("key").agg(F.min("id").alias("vec"), F.count(F.lit(1)).alias("copies"))
+    ordered = present.select("id", F.sort_array(words(F.col("string"))).alias("w"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    runs = ordered.withColumn("begins", F.when(F.size("w") > 0, begins).otherwise(F.array().cast("array<int>")))
+    entry = F.transform("begins", lambda p, k: F.struct(
+        F.get("w", p).alias("term"), (F.coalesce(F.get("begins", k + 1), F.size("w")) - p).cast("long").alias("tf")))
+    keyed = written(runs.select("id", F.sha2(F.array_join("w", " "), 256).alias("key"), entry.alias("entries")), "keys")
+    groups = written(keyed.groupBy("key").agg(F.min("id").alias("vec"), F.count(F.lit(1)).alias("copies")), "groups")
     rows = keyed.count()
-    members = written(salted_join(keyed, groups, "key", "copies", rows, "id"), "members")
+    members = written(salted_join(keyed.select("id", "key"), groups, "key", "copies", rows, "id"), "members")
 
-    shared = members.where(F.col("id") == F.col("vec")).select("id", "copies")
-    counts = written(
-        present.join(shared, "id").select(F.col("id").alias("vec"), "copies", F.explode(words(F.col("string"))).alias("term"))
-        .groupBy("vec", "copies", "term").agg(F.count(F.lit(1)).alias("tf")), "counts")
-    entries = counts.count()
+    # only the first copy's counts go on
+    firsts = written(keyed.join(groups.select(F.col("vec").alias("id"), "copies"), "id").select(F.col("id").alias("vec"), "copies", "entries"), "counts")
+    entries, row_entries = firsts.agg(F.coalesce(F.sum(F.size("entries")), F.lit(0)), F.coalesce(F.sum(F.size("entries") * F.col("copies")), F.lit(0))).first()
     if entries == 0:
         raise NoWords("no string holds a word of two or more characters")
+    counts = firsts.select("vec", "copies", F.explode("entries").alias("e")).select("vec", "copies", "e.term", "e.tf")
     sizes = counts.groupBy("term").agg(F.sum("copies").alias("df"), F.count(F.lit(1)).alias("vectors_with"))
     terms = with_position(sizes, ["df", "term"], "rank").withColumn("idf", smoothed_idf(F.lit(float(rows)), F.col("df")))
 
@@ -69,7 +74,7 @@ def term_vectors(strings: DataFrame) -> TermVectors:
     empty = members.where((F.col("id") == F.col("vec")) & (F.col("key") == F.sha2(F.lit(""), 256))).select(
         "vec", "copies", F.array().cast("array<bigint>").alias("terms"), F.array().cast("array<double>").alias("weights"))
     vectors = written(packed.unionByName(empty), "vectors")
-    return TermVectors(members.select("id", "vec", "copies"), vectors, terms, rows, entries, terms.count())
+    return TermVectors(members.select("id", "vec", "copies"), vectors, terms, rows, entries, row_entries, terms.count())
 
 
 def long_weights(vectors: DataFrame) -> DataFrame:
@@ -107,7 +112,7 @@ def row_weights(tv: TermVectors) -> DataFrame:
     long = per_row.select("id", F.explode(F.arrays_zip("terms", "weights")).alias("e")).select(
         "id", F.col("e.terms").alias("rank"), F.col("e.weights").alias("weight"))
     terms = tv.terms.select("rank", "term", "df")
-    return salted_join(long, terms, "rank", "df", tv.entries, "id").select("id", "term", "weight")
+    return salted_join(long, terms, "rank", "df", tv.row_entries, "id").select("id", "term", "weight")
 
 
 def spread_to_rows(tv: TermVectors, per_vector: DataFrame) -> DataFrame:

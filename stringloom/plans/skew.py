@@ -5,38 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1_000
-SALTS = 64
-SMALL = 100_000  # rows one task handles without trouble, whatever their keys
+#: Rows of one key that a task handles without trouble. It does not grow with the data: a key with more is spread over as many salts as it needs.
+LIMIT = 100_000
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, rows_per_key: str, total: int,
                 spread_by: str, how: str = "inner") -> DataFrame:
     """Join ``many`` to ``one`` (unique on ``key``), spreading hot keys over several tasks.
 
-    ``one[rows_per_key]`` holds how many rows of ``many`` carry the key and ``total`` their sum. A key is
-    hot above ``total / HOT_KEYS`` rows, so at most HOT_KEYS keys can be hot and their list is a bounded
-    broadcast. Only the hot rows of ``one`` are repeated, once per salt.
+    ``one[rows_per_key]`` holds how many rows of ``many`` carry the key and ``total`` bounds their sum. A key with more than LIMIT rows is dealt over
+    ceil(rows / LIMIT) salts; only its row of ``one`` is repeated, once per salt. The salt counts reach the rows by a join with the hot keys, at most
+    total / LIMIT of them, whose measured size decides whether they are broadcast.
     """
-    limit = max(total // HOT_KEYS, SMALL)
-    is_hot = F.col(rows_per_key) > limit
-    if total <= limit:
+    if total <= LIMIT:
         return many.join(one, key, how)
-    hot = one.where(is_hot).select(key, F.lit(True).alias("_hot"))
+    salts = F.greatest(F.ceil(F.col(rows_per_key) / LIMIT), F.lit(1)).cast("int")
+    hot = one.where(F.col(rows_per_key) > LIMIT).select(key, salts.alias("_salts"))
     left = (
-        many.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-                    .otherwise(F.lit(0)))
-        .drop("_hot")
+        many.join(hot, key, "left")
+        .withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int")).otherwise(F.lit(0)))
+        .drop("_salts")
     )
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = one.withColumn("_salt", F.explode(salts))
+    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def lookup_join(many: DataFrame, one: DataFrame, key: str, total: int, spread_by: str, how: str = "left") -> DataFrame:
     """``salted_join`` for a many-side whose key sizes are not known yet; small inputs join directly."""
-    if total <= SMALL:
+    if total <= LIMIT:
         return many.join(one, key, how)
     sizes = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     sized = one.join(sizes, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))

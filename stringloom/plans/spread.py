@@ -1,4 +1,4 @@
-"""Enough partitions for expensive row work on inputs stored in few splits."""
+"""Enough partitions for expensive row work on inputs stored in few files."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition only when the input has fewer splits than the session has slots.
+    """Repartition only when the input lies in fewer files than the session has slots.
 
-    A large table already has more splits than slots and passes through without a shuffle.
+    A large table has more files than slots and passes through without a shuffle. The file list is known to the planner, so asking runs no job.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    return df.repartition(slots) if len(df.inputFiles()) < slots else df

@@ -111,6 +111,17 @@ def test_tree_computations(spark):
     assert best == {3: (4.0, 0.0), 2: (9.0, 4.0), 4: (3.0, 0.0), 1: (12.0, 12.0), 0: (12.0, 12.0), 5: (6.0, 0.0)}
 
 
+def test_a_key_with_half_of_all_rows_is_dealt_over_many_tasks(spark, monkeypatch):
+    from stringloom.plans import skew
+    monkeypatch.setattr(skew, "LIMIT", 1_000)
+    rows = spark.range(1_000_000).select("id", F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 5_000).alias("k"))
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    out = salted_join(rows, sizes, "k", "n", 1_000_000, "id").withColumn("task", F.spark_partition_id())
+    by_task = [r["count"] for r in out.groupBy("task").count().collect()]
+    assert sum(by_task) == 1_000_000 and max(by_task) < 2 * 1_000_000 / len(by_task) and len(by_task) >= 4
+    assert out.where("k = -1").agg(F.min("n"), F.max("n"), F.countDistinct("id")).first()[:] == (500_000, 500_000, 500_000)
+
+
 def test_positions_and_hot_keys(spark, monkeypatch):
     df = spark.range(500).select((F.col("id") * 37 % 500).alias("x")).repartition(5)
     assert all(r["x"] == r["position"] for r in with_position(df, ["x"]).collect())
