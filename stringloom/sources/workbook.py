@@ -102,6 +102,5 @@ def pick_sheet(rows: DataFrame, sheet: str, columns: list[str]) -> DataFrame:
 def require_sheet(rows: DataFrame, sheet: str) -> None:
     """Raise with the list of worksheet names when ``sheet`` is absent."""
     if rows.where(F.col("sheet") == sheet).isEmpty():
-        # a workbook holds few sheets; the message shows at most the first hundred names
-        present = [r["sheet"] for r in rows.select("sheet").distinct().orderBy("sheet").limit(100).collect()]
+        present = [r["sheet"] for r in rows.select("sheet").distinct().orderBy("sheet").collect()]
         raise MissingWorksheet(f"no worksheet {sheet!r}; found {present}")
