@@ -15,8 +15,7 @@ from ..plans.scratch import written
 
 TOLERANCE = 1e-9
 SAME = 1e-7  # rounding of the dot product reaches about 4e-8 for parallel vectors
-BLOCK = 2_000
-HOT_LISTS = 10_000
+BLOCK = 2_000  # rows of one list that meet in one task; it does not grow with the data
 NO_SHARED_TERM = math.sqrt(2.0)
 
 
@@ -61,22 +60,14 @@ def _lists(vectors: DataFrame, floor: float) -> DataFrame:
 def _blocked(lists: DataFrame) -> DataFrame:
     """Cut long lists into blocks; a row goes to every block pair of its block, so no task holds a whole list."""
     sizes = written(lists.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "lists")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    limit = max(BLOCK, total // HOT_LISTS)
-    # lists above the limit number at most HOT_LISTS, which bounds the broadcast
-    long = sizes.where(F.col("n") > limit).select("term", F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
-    plain = lists.withColumns({"block": F.lit(0), "p": F.lit(0), "q": F.lit(0)})
-    if long.isEmpty():
-        return plain
-    marked = lists.join(F.broadcast(long), "term", "left")
+    # joined, not broadcast: how many lists are long follows the vocabulary
+    long = sizes.where(F.col("n") > BLOCK).select("term", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    marked = lists.join(long, "term", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")
-    cut = (
-        marked.where(F.col("blocks").isNotNull()).withColumn("block", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return (
+        marked.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("vec", "term", "rest", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
     )
-    rest = plain.join(F.broadcast(long), "term", "left_anti").select(cut.columns)
-    return cut.unionByName(rest)
 
 
 def close_pairs(vectors: DataFrame, max_dist: float) -> DataFrame:
