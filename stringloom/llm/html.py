@@ -11,6 +11,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ from .runtime import prepare, written
 
 #: Elements without content, elements whose content is never text, and elements that begin a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object canvas math video audio textarea title".split())
+RAW = frozenset("script style noscript template svg iframe object canvas video audio textarea title annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -29,12 +30,24 @@ CLOSED_BY = {
     "p": BLOCKS - {"html", "body", "head"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}),
     "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"}), "head": frozenset({"body"}),
 }
-#: Elements and words in class, id or role that mark what is not the article.
+#: Elements that are never the article, and words in class, id or role that mark what may not be.
 BOILERPLATE = frozenset("nav header footer aside form menu button select dialog".split())
-NOT_ARTICLE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|breadcrumbs?|comments?|replies|respond|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"footer|header|masthead|nav\w*|menu\w*|topbar|toolbar|side(?:bar|nav)?|widget\w*|related|recommend\w*|newsletter|subscri\w*|signup|login|search\w*|share|sharing|social|"
-    r"pag(?:er|ination)|copyright|legal|skip\w*|hidden)(?=$|[-_\s\d])", re.I)
+_UNWANTED = (r"ads?|advert\w*|banner|sponsor\w*|promo\w*|breadcrumbs?|comments?|replies|respond|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
+             r"footer|header|masthead|nav\w*|menu\w*|topbar|toolbar|side(?:bar|nav)?|widget\w*|related|recommend\w*|newsletter|subscri\w*|signup|login|search\w*|share|"
+             r"sharing|social|pag(?:er|ination)|copyright|legal|skip\w*|hidden")
+NOT_ARTICLE = re.compile(rf"(?:^|[-_\s])(?:{_UNWANTED})(?=$|[-_\s\d])", re.I)
+_UNWANTED_WORD = re.compile(_UNWANTED, re.I)
+#: Words of the list for inserted units, which are no part of an article that they stand in either.
+_INSERTED_WORD = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|breadcrumbs?|disqus|newsletter|signup|login|popup|hidden", re.I)
+#: Words that only say where an element is or what kind of box.
+LAYOUT = frozenset(
+    "js is has slot anchor box container wrap wrapper block blocks area section list bar unit inner outer content site page top bottom left right main primary secondary global "
+    "button buttons btn link links icon icons item items form panel row col column module component posts articles stories title message".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTROLS = frozenset("input textarea select button".split())
+#: A marked element in doubt goes when links make this share of its text, or a form control stands for every so many characters.
+LINK_SHARE = 0.5
+CONTROL_CHARS = 80
 #: Words in class, id or role that mark the article.
 ARTICLE = re.compile(r"(?:^|[-_\s])(?:article\w*|content|main|post\w*|entry|body|story|text)(?=$|[-_\s\d])", re.I)
 #: Longer paths are named by a digest of the parent's name and the element.
@@ -45,13 +58,26 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HEADING_PARENTS = ("article", "main", "section")
 _SPACE = re.compile(r"\s+")
+_PARTS = re.compile(r"[-_\d]+")
+
+
+@lru_cache(10_000)
+def named_for(name: str) -> str:
+    """What a name is made for that has no words but listed and layout ones: "inserted", "unwanted" or nothing; slugs of headings have others."""
+    parts = [p for p in _PARTS.split(name) if p]
+    unwanted = [p for p in parts if _UNWANTED_WORD.fullmatch(p)]
+    if not unwanted or any(p not in unwanted and p.lower() not in LAYOUT and len(p) > 1 for p in parts):
+        return ""
+    return "inserted" if any(_INSERTED_WORD.fullmatch(p) for p in unwanted) else "unwanted"
 
 
 class Node:
-    __slots__ = ("tag", "mark", "parent", "path", "barred", "linked")
+    __slots__ = ("tag", "mark", "parent", "path", "barred", "linked", "inside", "suspect")
 
     def __init__(self, tag: str, mark: str, parent: Node | None, barred: bool, inline: bool = False):
         self.tag, self.mark, self.parent, self.barred = tag, mark, parent, barred
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.suspect: Suspect | None = None if parent is None else parent.suspect  # the nearest element in doubt around this one
         if inline or tag == "html":
             self.path = parent.path
         else:
@@ -61,6 +87,20 @@ class Node:
         self.linked = 0  # characters of link texts
 
 
+class Suspect:
+    """A marked element that may still belong to the article, with what its text consists of."""
+
+    __slots__ = ("outer", "alone", "headings", "controls", "chars", "linked", "out")
+
+    def __init__(self, outer: Suspect | None, alone: bool):
+        self.outer, self.alone = outer, alone  # alone: the mark suffices unless there is a heading
+        self.headings = self.controls = self.chars = self.linked = 0
+
+    def settle(self) -> None:
+        dense = self.linked > 0 and self.linked >= LINK_SHARE * self.chars or self.controls * CONTROL_CHARS > self.chars
+        self.out = dense or self.alone and not self.headings or self.outer is not None and self.outer.out
+
+
 class Page:
     """Elements of a page in document order and its text pieces, each a block's text or a part of one."""
 
@@ -68,7 +108,10 @@ class Page:
         self.root = Node("", "", None, False)
         self.nodes = [self.root]
         self.pieces: list[tuple[int, Node, str]] = []  # (block number, element, text)
+        self.suspects: list[Suspect] = []  # outer ones first
         self._read(source)
+        if self.suspects:
+            self._settle()
 
     def _read(self, source: str) -> None:
         here, block, skip, links = self.root, 0, "", 0
@@ -109,6 +152,8 @@ class Page:
                 elif not here.barred:
                     pieces.append((block, here, " "))
                 continue
+            if tag in CONTROLS and here.suspect is not None:
+                here.suspect.controls += 1
             if tag in VOID:
                 continue
             if tag in RAW:
@@ -132,21 +177,67 @@ class Page:
             mark = " ".join(entities.unescape(attributes[k]) for k in ("class", "id", "role") if k in attributes)
             hidden = "hidden" in token[3] and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", token[3]) is not None or attributes.get("aria-hidden") == "true" \
                 or "display:none" in attributes.get("style", "").replace(" ", "")
-            barred = here.barred or hidden or self._barred(tag, mark, here)
-            here = Node(tag, mark if tag != "a" else "", here, barred)
+            barred = here.barred or hidden or self._barred(tag, here)
+            doubt = None if barred or not mark else self._doubt(tag, attributes, here)
+            here = Node(tag, mark if tag != "a" else "", here, barred or doubt == "sure")
+            if doubt in ("alone", "dense"):
+                here.suspect = Suspect(here.suspect, doubt == "alone")
+                self.suspects.append(here.suspect)
+            if tag in HEADINGS and here.suspect is not None:
+                here.suspect.headings += 1
             if tag in CONTAINERS:
                 nodes.append(here)
 
     @staticmethod
-    def _barred(tag: str, mark: str, parent: Node) -> bool:
+    def _barred(tag: str, parent: Node) -> bool:
         if tag == "header":  # an article's own header is part of it
             up = parent
             while up.parent is not None and up.tag not in _HEADING_PARENTS:
                 up = up.parent
             return up.tag not in ("article", "main")
-        if tag in BOILERPLATE:
-            return True
-        return bool(mark) and tag != "body" and tag != "html" and NOT_ARTICLE.search(mark) is not None and tag not in ("article", "main")
+        return tag in BOILERPLATE
+
+    @staticmethod
+    def _doubt(tag: str, attributes: dict[str, str], parent: Node) -> str | None:
+        """What class, role and id say against an element: "sure", "alone" (enough without a heading), "dense" (only with links or forms) or nothing.
+
+        An id counts only where all its words are of the lists, since most ids are slugs of headings.
+        """
+        if tag in ("article", "main", "body", "html") or tag in HEADINGS:
+            return None
+        classes = entities.unescape(attributes.get("class", "")).split()
+        if any(named_for(c) == "inserted" for c in classes):
+            return "sure"
+        if tag == "a":  # a link within a sentence
+            return "sure" if any(map(named_for, classes)) else None
+        if tag == "p":
+            return None
+        names = classes + entities.unescape(attributes.get("role", "")).split()
+        if any(map(named_for, names)):
+            return "dense" if parent.inside else "sure"
+        if named_for(entities.unescape(attributes.get("id", "")).strip()):
+            return "dense" if parent.inside else "alone"
+        return "dense" if any(NOT_ARTICLE.search(n) for n in names) else None
+
+    def _settle(self) -> None:
+        """Leave out what stands in suspects that their links, forms or marks speak against."""
+        counted = set()
+        for _, node, text in self.pieces:
+            if node.suspect is not None:
+                node.suspect.chars += len(text.strip())
+                if node not in counted:
+                    counted.add(node)
+                    node.suspect.linked += node.linked
+        for inner in reversed(self.suspects):
+            if inner.outer is not None:
+                for what in ("headings", "controls", "chars", "linked"):
+                    setattr(inner.outer, what, getattr(inner.outer, what) + getattr(inner, what))
+        for one in self.suspects:
+            one.settle()
+        out = lambda node: node.suspect is not None and node.suspect.out
+        self.pieces = [p for p in self.pieces if not out(p[1])]
+        for node in self.nodes:
+            node.barred = node.barred or out(node)
 
     def scores(self) -> dict[Node, float]:
         """How much each container looks like the article: text of its own blocks, less that of links."""

@@ -45,3 +45,18 @@ def test_other_shapes_and_odd_rows(spark):
 
 def test_empty_table(spark):
     assert html.article_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+SLUGS = """<html><body><nav>menu</nav><div class="ad">Buy</div><article><h1 id="skip-lists">Skip lists</h1><h2 id="why-you-should-share">Why you should share</h2>
+<section id="side-effects"><h3>Side effects</h3><p>Few are known.</p></section><div id="related-work"><p>Others did <a href=x>this</a> long ago and it is well known.</p></div>
+<section class="legal-history"><p id="legal">It began in 1900.</p></section><section id="comments"><h2>Comments</h2><p>On the text of the law.</p></section>
+<div id="hidden-markov-models"><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x = 1</annotation></math> hold.</p></div>
+<div class="ad-slot">Buy</div><div class="related-posts"><a href=1>More</a> <a href=2>and more</a></div><div id="share"><a href=1>Post it</a></div>
+<div class="subscribe-now">Mail <input name=mail></div></article><footer>foot</footer></body></html>"""
+
+
+def test_ids_of_headings_and_formulas_stay_and_marked_link_lists_go():
+    want = ["Skip lists", "Why you should share", "Side effects", "Few are known.", "Others did this long ago and it is well known.", "It began in 1900.", "Comments",
+            "On the text of the law.", "Let x=1 hold."]
+    assert html.main_text(SLUGS, None).split("\n") == want
+    assert html.main_text(SLUGS.replace("article>", "div>"), None).split("\n") == want
