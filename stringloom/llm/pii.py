@@ -1,6 +1,7 @@
 """Personal data in texts: four base patterns, then identifiers that only their wording gives away.
 
-Seeds are the base matches. The word before a seed is a lexical pattern; tokens of identifier shape after the same words are further instances. Scores run
+Seeds are the base matches. The word before a seed, with the marks that follow it, is a lexical pattern; tokens of identifier shape after the same are further
+instances. Scores run
 over the pattern-instance graph in rounds: a pattern scores the mean of its instances, an unknown instance the mean of its patterns.
 A pattern that scores high, has several different seeds and is mostly followed by identifiers marks the other tokens after it.
 Everything here is DataFrame operations only.
@@ -28,8 +29,24 @@ _PATTERNS = {
 }
 _HINTS = {"email": "@", "phone": "+"}
 
-#: Identifier-shaped tokens that are not base matches: 6 to 64 characters with at least five digits.
-_TOKEN = r"(?<![A-Za-z0-9._@+/:()-])(?=[A-Za-z._@+/:()-]{0,63}[0-9])[A-Za-z0-9._@+/:()-]{6,}+"
+#: Identifier-shaped tokens that are not base matches. Of any kind: 6 to 64 characters with at least five digits; a key glued by a colon is its cue.
+_START = r"(?<![A-Za-z0-9._@+/()-])(?!:)(?![A-Za-z_]{1,40}:[0-9+(])"
+_ANY = r"(?=[A-Za-z._@+/:()-]{0,63}[0-9])[A-Za-z0-9._@+/:()-]{6,}+"
+_WHOLE_NUMBER = r"(?=(?:[A-Za-z._@+/:()-]{0,63}+[0-9]){10})[A-Za-z0-9._@+/:()-]{6,}+"
+#: Of one kind: mail addresses without digits, without a domain or with the signs written out; addresses of hexadecimal groups; digit groups with spaces.
+_AT, _DOT = r"(?:@| ?[(\[{] ?(?i:at) ?[)\]}] ?)", r"(?:\.| ?[(\[{] ?(?i:dot) ?[)\]}] ?)"
+_SHAPES = {
+    "email": rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]{{1,64}}+{_AT}[\p{{L}}\p{{N}}-]++(?:{_DOT}[\p{{L}}\p{{N}}-]++)*+",
+    "ip": r"(?<![\p{L}\p{N}:.])(?=:{0,2}[0-9A-Fa-f])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}+(?![\p{L}\p{N}:_@]|[./-][\p{L}\p{N}])",
+    "digits": r"(?<![\p{L}\p{N}._@+/-])\+?\(?[0-9]{1,19}+(?:(?:[ ./-]|\)[ /-]?| ?\()[0-9]{1,19}+){1,9}(?![\p{L}\p{N}_@]|[./:-][\p{L}\p{N}])",
+}
+#: One alternative for each shape, so tokens never overlap; an unspaced number of ten digits is whole and takes no further groups.
+_TOKEN = "|".join((_SHAPES["ip"], _SHAPES["email"], _START + _WHOLE_NUMBER, _SHAPES["digits"], _START + _ANY))
+_MAYBE = r"[0-9@]|[0-9A-Fa-f:]:[0-9A-Fa-f:]|[(\[{] ?(?i:at) ?[)\]}]"
+#: Units that cues are cut from: a word (its last 40 characters) with the marks after it.
+_WORD, _MARK = r"[\p{L}\p{M}\p{N}_]", r"[^\p{L}\p{M}\p{N}_\s]"
+_UNIT = rf"{_WORD}++{_MARK}*+|{_MARK}++"
+_LONG = 40
 #: Rounds of scoring, the score and the number of different seeds a pattern needs, and how often an identifier must follow its word.
 ROUNDS = 3
 PATTERN_SCORE = 0.6
@@ -92,19 +109,39 @@ def _base(text: Column) -> Column:
 
 
 def _cue(text: Column, start: Column) -> Column:
-    """The word before a place, in lower case; empty at the start of a line or text."""
-    before = F.substring(text, F.greatest(start - 40, F.lit(0)).cast("int") + 1, F.least(start, F.lit(40)).cast("int"))
-    return F.lower(F.regexp_extract(before, r"([^ \t-\r]+)[ \t]*$", 1))
+    """The word before a place with the marks after it, in lower case, and a blank where blanks follow; empty at the start of a line or text."""
+    before = F.substring(text, F.greatest(start - 128, F.lit(0)).cast("int") + 1, F.least(start, F.lit(128)).cast("int"))
+    unit = F.regexp_extract(before, rf"({_WORD}{{0,{_LONG}}}+{_MARK}{{0,{_LONG}}}+)[ \t]{{0,48}}+$", 1)
+    return F.when(unit == "", "").otherwise(F.lower(F.concat(unit, F.when(before.rlike(r"[ \t]$"), " ").otherwise(""))))
+
+
+def _cues(unit: Column) -> Column:
+    """Every cue that an identifier after or within a unit can have: the unit before blanks, and up to each of its marks."""
+    word = F.regexp_extract(unit, rf"^{_WORD}*+", 0)
+    marks = F.substring(unit, F.length(word) + 1, F.lit(_LONG))
+    word = F.substring(word, F.greatest(F.length(word) - _LONG, F.lit(0)) + 1, F.lit(_LONG))
+    glued = F.transform(F.sequence(F.lit(0), F.length(marks)), lambda n: F.concat(word, F.substring(marks, F.lit(1), n)))
+    return F.concat(F.array(F.concat(word, marks, F.lit(" "))), glued)
+
+
+def _suits(value: Column) -> Column:
+    """Kinds that a token may be of by its shape."""
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    whole = lambda shape: value.rlike(f"^(?:{_SHAPES[shape]})$")
+    any_kind = (digits >= 5) & value.rlike("^[A-Za-z0-9._@+/:()-]{6,}$")
+    number = whole("digits") & digits.between(6, 19)
+    fits = {"email": whole("email"), "ip": whole("ip"), "card": number, "phone": number}
+    kinds = F.array(*(F.when(any_kind | fits[k], F.lit(k)) for k in KINDS))
+    return F.when(F.length(value) <= 64, F.filter(kinds, lambda k: k.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def _instances(rows: DataFrame) -> DataFrame:
     """(doc_id, text_hash, base, tokens): base spans and identifier-shaped tokens outside them, both with the word before them."""
     text = F.col("text")
     found = rows.withColumn("base", _base(text))
-    tokens = F.filter(_found(text, _TOKEN), lambda t: (F.length(t["value"]) <= 64)
-                      & (F.length(F.regexp_replace(t["value"], "[^0-9]", "")) >= 5)
+    tokens = F.filter(_found(text, _TOKEN), lambda t: (F.size(_suits(t["value"])) > 0)
                       & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    tokens = F.when(text.rlike("[0-9]"), tokens).otherwise(F.array().cast(_SPAN))
+    tokens = F.when(text.rlike(_MAYBE), tokens).otherwise(F.array().cast(_SPAN))
     with_cue = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"),
                                                       _cue(text, t["start"]).alias("cue")))
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["place"].alias("place"), b["end"].alias("end"),
@@ -113,7 +150,7 @@ def _instances(rows: DataFrame) -> DataFrame:
 
 
 def _patterns(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """(cue, kind) of the trusted patterns, scored over the whole graph."""
+    """(cue, kinds) of the trusted patterns, scored over the whole graph; kinds of more seeds first."""
     seeds = found.select(F.explode("base").alias("s")).select("s.cue", "s.value", "s.kind", F.lit(1.0).alias("known"))
     others = found.select(F.explode("tokens").alias("s")).select("s.cue", "s.value", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("known"))
     edges = (seeds.unionByName(others).where("cue <> ''").groupBy("cue", "value")
@@ -129,10 +166,12 @@ def _patterns(found: DataFrame, rows: DataFrame) -> DataFrame:
         scored = written(scored, "scored")
     trust = scored.groupBy("cue").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("trust"))
     strong = support.where(F.col("seeds") >= SEEDS).join(trust.where(F.col("trust") >= PATTERN_SCORE), "cue")
-    words = rows.select(F.explode(F.split(F.lower("text"), r"[ \t-\r]+")).alias("cue")).groupBy("cue").agg(F.count(F.lit(1)).alias("all"))
-    specific = strong.join(words, "cue").where(F.col("followed") >= FOLLOWED * F.col("all"))
+    # counted in the unit that cues are cut from; a cue that is not counted has at least the places where it was seen
+    units = rows.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_UNIT), F.lit(0))).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    every = units.select(F.explode(_cues(F.col("unit"))).alias("cue"), "n").groupBy("cue").agg(F.sum("n").alias("all"))
+    specific = strong.join(every, "cue", "left").where(F.col("followed") >= FOLLOWED * F.coalesce("all", "followed"))
     kinds = edges.where("known = 1").groupBy("cue", "kind").agg(F.count(F.lit(1)).alias("n"))
-    best = kinds.groupBy("cue").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
+    best = kinds.groupBy("cue").agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", "kind"))))["kind"].alias("kinds"))
     return specific.select("cue").join(best, "cue")
 
 
@@ -152,6 +191,8 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     trusted = written(_patterns(found, rows), "patterns")
     marked = (found.where("size(tokens) > 0").select("doc_id", "text_hash", F.explode("tokens").alias("t"))
               .select("doc_id", "text_hash", "t.*").join(trusted, "cue"))
+    marked = (marked.withColumn("suits", _suits(F.col("value"))).withColumn("kind", F.get(F.filter("kinds", lambda k: F.array_contains("suits", k)), F.lit(0)))
+              .where("kind IS NOT NULL"))
     place = reduce(lambda c, k: c.when(F.col("kind") == k, KINDS.index(k)), KINDS[1:], F.when(F.col("kind") == KINDS[0], 0))
     extra = (marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
              .agg(F.collect_set(F.struct("start", place.alias("place"), "end", "kind")).alias("extra")))

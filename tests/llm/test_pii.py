@@ -78,3 +78,15 @@ def test_no_python_in_the_plan(spark, sf):
     plan = pii.redacted(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert pii.redacted(docs).where(F.length("text") != F.col("n_chars")).count() == 0
+
+
+def test_glued_wording_and_shapes_of_each_kind(spark):
+    seeds = [(i, f'GET tel=+1 (234) 555-{1000 + i} {{"mail":"a{i}@x.example","phone":"+1 (234) 556-{1000 + i}"}} write to: b{i}@y.example or call: +1 234 557 {1000 + i}') for i in range(12)]
+    more = {100: "got tel=0234-5550123 here", 101: '{"phone":"0234 555 0199","mail":"jane.doe@intranet"}', 102: "write to: jane(at)example.com or call: 0234 555 0199 now",
+            103: "write to: Jane.Doe [at] example [dot] com", 104: "on 12 345 678 of jane@intranet", 105: "write to: 0234 555 0199", 106: '"phone":0234-5550123, tel=1'}
+    docs = spark.createDataFrame(seeds + list(more.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data_digest(docs).collect()}
+    marked = {d: [(k, more[d][int(a):int(b)]) for k, a, b in (x.split(":") for x in got[d].split(",") if x)] for d in more}
+    assert marked == {100: [("phone", "0234-5550123")], 101: [("phone", "0234 555 0199"), ("email", "jane.doe@intranet")],
+                      102: [("email", "jane(at)example.com"), ("phone", "0234 555 0199")], 103: [("email", "Jane.Doe [at] example [dot] com")], 104: [], 105: [], 106: []}
+    assert all(got[i].count(":") == 10 for i, _ in seeds)
