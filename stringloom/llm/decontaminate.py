@@ -1,6 +1,7 @@
 """Documents that contain benchmark items, also with a few changed words: pigeonhole seeds and Myers verification.
 
-Item and text are compared as normalised words (lower case, split at everything that is not a letter or digit). An item of m words may differ in e = floor(m *
+Item and text are compared as normalised words (lower case, split at everything that is not a letter or digit; each character
+of a script without spaces is a word). An item of m words may differ in e = floor(m *
 ``budget``) word edits. Cut in e + 1 pieces, at least one piece of it must stand unchanged in any such passage, so exact hits of pieces find every
 candidate place; Myers' bit-parallel distance decides each.
 """
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from .runtime import prepare
 from .words import Words, signed, window_hashes
 
-#: Share of an item's words that may be edited, and the fewest words an item needs to be searched at all.
+#: Share of an item's words that may be edited (none of fewer than five), and the fewest words an item needs to be searched at all.
 BUDGET = 0.2
-MIN_WORDS = 8
+MIN_WORDS = 1
 #: Items are searched in blocks of at most this many characters (one scan of the texts for each block); it only bounds a broadcast.
 BLOCK_CHARS = 4_000_000
 
@@ -32,6 +33,33 @@ def normal_words(column: pa.Array) -> Words:
     return Words(pc.utf8_lower(column.cast(pa.large_string()).fill_null("")), letters_only=True)
 
 
+#: Scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana, ideographs.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3100, 0x312F), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+            (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+
+
+def compared_words(column: pa.Array) -> Words:
+    """Words of lower-cased texts; what is no letter, mark or digit separates, and characters of unspaced scripts stand alone. Places in code points stay."""
+    lower = pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
+    words = Words(pc.replace_substring_regex(lower, r"[^\p{L}\p{M}\p{N}\x00-\x7f]", " "), letters_only=True)
+    data = words.data.astype(np.int64)
+    three, four = np.flatnonzero((data >= 0xE0) & (data < 0xF0)), np.flatnonzero(data >= 0xF0)
+    low = lambda at: data[at] & 0x3F
+    code = np.concatenate([(data[three] & 0x0F) << 12 | low(three + 1) << 6 | low(three + 2),
+                           (data[four] & 0x07) << 18 | low(four + 1) << 12 | low(four + 2) << 6 | low(four + 3)])
+    begin, end = np.concatenate([three, four]), np.concatenate([three + 3, four + 4])
+    alone = np.zeros(len(code), dtype=bool)
+    for a, b in UNSPACED:
+        alone |= (code >= a) & (code <= b)
+    if alone.any():
+        begin, end = begin[alone], end[alone]
+        starts = np.union1d(words.starts, np.concatenate([begin, np.setdiff1d(end, words.ends)]))
+        words.ends = np.union1d(words.ends, np.concatenate([end, np.setdiff1d(begin, words.starts)]))
+        words.starts = starts
+        words.first = np.searchsorted(words.starts, words.offsets)
+    return words
+
+
 @dataclass
 class Seeds:
     """Pieces of all items by length: sorted hashes with the item and the offset each stands for."""
@@ -41,7 +69,7 @@ class Seeds:
 
 
 def seeds(ids: list[int], texts: list[str], budget: float = BUDGET, min_words: int = MIN_WORDS) -> Seeds:
-    words = normal_words(pa.array(texts, pa.string()))
+    words = compared_words(pa.array(texts, pa.string()))
     hashes = words.hashes()
     items, found = [], defaultdict(list)
     for r, item in enumerate(ids):
@@ -131,7 +159,7 @@ def hits_in(words: Words, hashes: np.ndarray, known: Seeds) -> list[tuple[int, i
 def _search(known):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = normal_words(batch.column(1))
+            words = compared_words(batch.column(1))
             got = hits_in(words, words.hashes(), known.value)
             rows = pa.array([g[0] for g in got], pa.int64())
             start = words.character(words.starts[[g[3] for g in got]], [g[0] for g in got]) if got else []

@@ -89,3 +89,14 @@ def test_myers_with_long_patterns():
     for _ in range(60):
         a, b = ([rng.randint(0, 3) for _ in range(rng.randint(1, 150))] for _ in range(2))
         assert min(decontaminate.myers(a, b)) == best(a, b) if b else True
+
+
+def test_short_items_and_other_scripts(spark):
+    items = [(1, "Who wrote Faust?"), (2, "水在什么温度下会沸腾并变成蒸汽"), (3, "The café’s owner – an old man – said “never again” to all of them"), (4, " ?! "), (5, "น้ำเดือด")]
+    docs = [(1, "x. who wrote “Faust”? y"), (2, "who once wrote faust"), (3, "前文。水在什么温度下會沸腾并变成蒸汽？后文"), (4, "the café's owner - an old man - said \"never again\" to all of them"),
+            (5, "?! 水在"), (6, "ถามว่าน้ำเดือดไหม")]
+    got = decontaminate.benchmark_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got) == [(1, 1, 0), (3, 2, 1), (4, 3, 0), (6, 5, 0)]
+    texts = dict(docs)
+    parts = {r["doc_id"]: texts[r["doc_id"]][r["start"]:r["end"]] for r in got}
+    assert parts[3] == "水在什么温度下會沸腾并变成蒸汽" and parts[6] == "น้ำเดือด" and parts[1] == "who wrote “Faust"
