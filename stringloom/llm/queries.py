@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, languages, minhash, neighbours, pieces, pii, rules, substrings, toxicity
+from . import alignment, decontaminate, html, languages, minhash, neighbours, pieces, pii, rules, simhash, substrings, toxicity, vector_codes
 from .runtime import table
 
 
@@ -64,6 +64,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    return alignment.alignment_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector."""
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -75,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -113,3 +131,41 @@ select w.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(len(gone),
   sha256(coalesce(array_to_string(list_filter(words, lambda x, i: not coalesce(list_contains(gone, i), false)), ' '), '')) as kept_sha256
 from w left join g using (doc_id)""",
 }
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Full search of every codebook, round by round."""
+    steps = [f"""
+kept as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (
+  select vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] as part from kept, range({parts}) r(p)),
+c0 as materialized (
+  select p, row_number() over (partition by p order by vec_id) - 1 as k, part as entry from parts
+  where vec_id in (select vec_id from kept order by vec_id limit {entries}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} as materialized (
+  select vec_id, p, any_value(part) as part,
+    min({entries} * list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - entry[i]) * (part[i] - entry[i]))) + k) as best
+  from parts join c{i} using (p) group by vec_id, p)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} as (select p, k, i, cast(floor(sum(x) / count(*)) as bigint) as x from (
+  select p, best % {entries} as k, unnest(range(1, len(part) + 1)) as i, unnest(part) as x from a{i}) group by p, k, i),
+c{i + 1} as materialized (
+  select c{i}.p, c{i}.k, coalesce(any_value(n.entry), any_value(c{i}.entry)) as entry
+  from c{i} left join (select p, k, list(x order by i) as entry from m{i} group by p, k) n on n.p = c{i}.p and n.k = c{i}.k group by 1, 2)""")
+    return f"""
+with {",".join(steps)},
+coded as (
+  select vec_id, string_agg(printf('%02x', cast(best % {entries} as integer)), '' order by p) as code, cast(sum(best // {entries}) as bigint) as error
+  from a{rounds} group by vec_id),
+digest as (select sha256(string_agg(cast(x as varchar), ',' order by p, k, i)) as h from (
+  select p, k, unnest(range(1, len(entry) + 1)) as i, unnest(entry) as x from c{rounds}))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, h as codebooks_sha256
+from coded join kept using (vec_id), digest"""
+
+
+SQL["op13_vector_codes"] = _codes_sql()
