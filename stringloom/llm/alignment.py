@@ -11,6 +11,7 @@ their steps together.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -22,7 +23,6 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .runtime import prepare, written
@@ -39,6 +39,9 @@ BITS = 20
 #: Pairs whose counts a task holds before it hands them on, and pairs of one broadcast block. Neither bounds what is counted or looked up.
 HELD = 2_000_000
 BLOCK = 2_000_000
+#: Bytes of text that a task aligns at once (a longer text alone), and words whose piece ids it remembers; both only bound memory.
+AT_ONCE = 1 << 18
+REMEMBERED = 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -81,7 +84,11 @@ class Pair:
         self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.pieces.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(n)]
         if max(len(self.a_bytes), n) > 1 << BITS:
             raise ValueError(f"a vocabulary has more than {1 << BITS} ids")
+        self.kind = _kind(max(len(self.a_bytes), n))
         self.a_size, self.b_size = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.cutter = re.compile(" +[^ ]*")
+        self.whole_texts = any("▁" in piece(i).lstrip("▁") for i in range(n) if not (self.pieces.is_control(i) or self.pieces.is_byte(i)))
+        self._forget()
         self.said = [f"{i}{mark}" for i in range(max(len(self.a_bytes), n)) for mark in (",", "|", ";", "")]
 
     def a_ids(self, text: str) -> np.ndarray:
@@ -89,15 +96,54 @@ class Pair:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.int64)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
+    def _learn(self, words: list[str]) -> None:
+        """Piece ids of new words, each a space or more and what follows them, and whether they spell the word."""
+        mark = [self.pieces.piece_to_id("▁")]
+        found = [ids or mark for ids in self.pieces.encode([w[1:] for w in words], num_threads=1)]  # the library adds the first space
+        base = len(self.number)
+        self.number.update(zip(words, range(base, base + len(words))))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum()))
+        spelled = np.array([b"".join(map(self.b_bytes.__getitem__, ids)) == w.encode() for ids, w in zip(found, words)], dtype=bool)
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        self.flat, self.spelled = np.concatenate([self.flat, flat]), np.concatenate([self.spelled, spelled])
+
+    def b_ids(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Piece ids of all texts, None where they do not spell a space and the text.
+
+        No piece has its mark for a space behind another character, so no merge crosses the border before a space and words are encoded once each.
+        """
+        if self.whole_texts:
+            found = [np.array(ids, dtype=np.int64) for ids in self.pieces.encode(texts, num_threads=1)]
+            return [ids if b"".join(map(self.b_bytes.__getitem__, ids.tolist())) == (" " + t).encode() else None for ids, t in zip(found, texts)]
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        cut = [self.cutter.findall(" " + t) for t in texts]
+        new = list(set(itertools.chain.from_iterable(cut)) - self.number.keys())
+        if new:
+            self._learn(new)
+        out = []
+        for words in cut:
+            at = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+            size = self.begin[at + 1] - self.begin[at]
+            where = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            out.append(self.flat[where] if self.spelled[at].all() else None)
+        return out
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.begin, self.flat, self.spelled = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of all texts by both tokenizers; none where the tokens' bytes are not a space and the text."""
         empty = np.zeros(0, dtype=np.int64)
         left, right = [empty] * len(texts), [empty] * len(texts)
         rows = [r for r, t in enumerate(texts) if t]
-        for r, b in zip(rows, self.pieces.encode([texts[r] for r in rows], num_threads=1)):
-            a, whole = self.a_ids(" " + texts[r]), b" " + texts[r].encode()
-            if b"".join(map(self.b_bytes.__getitem__, b)) == whole and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole:
-                left[r], right[r] = a, np.array(b, dtype=np.int64)
+        for r, b in zip(rows, self.b_ids([texts[r] for r in rows])):
+            if b is not None:
+                a = self.a_ids(" " + texts[r])
+                if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == b" " + texts[r].encode():
+                    left[r], right[r] = a, b
         return left, right
 
 
@@ -174,6 +220,55 @@ def linked_pairs(a_ids: np.ndarray, b_ids: np.ndarray, a_rows: np.ndarray, overl
     return row, (np.repeat(a_ids, overlaps) << BITS) | b_ids[right]
 
 
+def _kind(ids: int) -> np.dtype:
+    return np.dtype("<u2" if ids <= 1 << 16 else "<u4")
+
+
+def _packed(flat: np.ndarray, rows: np.ndarray, kind: np.dtype) -> pa.Array:
+    """Numbers of all rows as one binary value for each row."""
+    offsets = (np.append(0, np.cumsum(rows)) * kind.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(flat.astype(kind))])
+
+
+def _unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers, how many each row has) of a packed column."""
+    n = len(column)
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int32)[column.offset:column.offset + n + 1].astype(np.int64)
+    whole = np.frombuffer(data, dtype=np.uint8)[bounds[0]:bounds[-1]] if data is not None and n else np.zeros(0, np.uint8)
+    return np.frombuffer(whole.tobytes(), dtype=kind).astype(np.int64), np.diff(bounds) // kind.itemsize
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of a text column of about AT_ONCE bytes each."""
+    sizes = np.array([len(x) if x else 0 for x in column.to_pylist()], dtype=np.int64)
+    part = (np.cumsum(sizes) - sizes) // AT_ONCE
+    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    return zip(bounds[:-1], bounds[1:])
+
+
+def _aligned(docs: DataFrame, doc_id: str, text: str, byte_model: str, piece_model: str) -> DataFrame:
+    """(doc_id, a_ids, b_ids, marks) with packed lists; a mark is twice a left token's overlaps and one more where it closes a group."""
+    spark = docs.sparkSession
+    prepare(spark)
+    files = spark.sparkContext.broadcast(load_files(byte_model, piece_model))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = _pair(files)
+        for batch in batches:
+            for begin, stop in _parts(batch.column(1)) if batch.num_rows else ():
+                left, right = pair.encode(batch.column(1).slice(begin, stop - begin).to_pylist())
+                a_rows, b_rows = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
+                a, b = np.concatenate(left), np.concatenate(right)
+                overlaps, closes = aligned_ids(pair.a_size[a], pair.b_size[b], a_rows, b_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(begin, stop - begin), _packed(a, a_rows, pair.kind), _packed(b, b_rows, pair.kind),
+                     _packed(2 * overlaps + closes, a_rows, pair.kind)], names=["doc_id", "a_ids", "b_ids", "marks"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(scan, "doc_id long, a_ids binary, b_ids binary, marks binary")
+
+
 def alignment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL) -> DataFrame:
     """(doc_id, a_ids, b_ids, overlaps, closes) for every row of ``docs``.
 
@@ -182,26 +277,20 @@ def alignment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_
     spell a space and the text, have empty lists. Repeated rows give repeated results, rows without an id too; very long texts are taken whole. Other
     columns are ignored whatever their names. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    files = spark.sparkContext.broadcast(load_files(byte_model, piece_model))
+    packed = _aligned(docs, doc_id, text, byte_model, piece_model)
+    files = docs.sparkSession.sparkContext.broadcast(load_files(byte_model, piece_model))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(files)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = pair.encode(batch.column(1).to_pylist())
-            a_rows, b_rows = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
-            a, b = np.concatenate(left), np.concatenate(right)
-            overlaps, closes = aligned_ids(pair.a_size[a], pair.b_size[b], a_rows, b_rows)
-            lists = lambda flat, rows, kind: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rows)), pa.int32()), pa.array(flat, kind))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists(a, a_rows, pa.int32()), lists(b, b_rows, pa.int32()), lists(overlaps, a_rows, pa.int32()),
-                 lists(closes, a_rows, pa.bool_())], names=["doc_id", "a_ids", "b_ids", "overlaps", "closes"])
+            if batch.num_rows:
+                lists = Lists(batch, _pair(files).kind)
+                made = lambda flat, rows, kind: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rows)), pa.int32()), pa.array(flat, kind))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), made(lists.a_ids, lists.a_rows, pa.int32()), made(lists.b_ids, lists.b_rows, pa.int32()),
+                     made(lists.overlaps, lists.a_rows, pa.int32()), made(lists.closes, lists.a_rows, pa.bool_())],
+                    names=["doc_id", "a_ids", "b_ids", "overlaps", "closes"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, a_ids array<int>, b_ids array<int>, overlaps array<int>, closes array<boolean>")
+    return packed.mapInArrow(scan, "doc_id long, a_ids array<int>, b_ids array<int>, overlaps array<int>, closes array<boolean>")
 
 
 _pairs: dict[int, Pair] = {}
@@ -215,16 +304,31 @@ def _pair(files) -> Pair:
     return _pairs[id(files.value)]
 
 
-def _batch_links(batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Flat lists and list sizes of an alignment's batch, with its (row, pair) links."""
-    flat, names = {}, batch.schema.names
-    for name in ("a_ids", "b_ids", "overlaps", "closes"):
-        column = batch.column(names.index(name))
-        flat[name] = column.flatten().to_numpy(zero_copy_only=False)
-        flat["n_" + name] = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat["a_ids"], flat["b_ids"], flat["overlaps"] = (flat[k].astype(np.int64) for k in ("a_ids", "b_ids", "overlaps"))
-    row, pair = linked_pairs(flat["a_ids"], flat["b_ids"], flat["n_a_ids"], flat["overlaps"], flat["closes"])
-    return flat, row, pair
+class Lists:
+    """Flat lists of a packed batch, how long each row's are, and its links."""
+
+    def __init__(self, batch: pa.RecordBatch, kind: np.dtype):
+        names = batch.schema.names
+        (self.a_ids, self.a_rows), (self.b_ids, self.b_rows), (marks, _) = (_unpacked(batch.column(names.index(n)), kind) for n in ("a_ids", "b_ids", "marks"))
+        self.overlaps, self.closes = marks >> 1, (marks & 1).astype(bool)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        return linked_pairs(self.a_ids, self.b_ids, self.a_rows, self.overlaps, self.closes)
+
+    def groups_text(self, said: list[str]) -> list[str]:
+        """Each row's groups as text: left ids, a bar and right ids, groups parted by semicolons; empty without tokens."""
+        step = self.overlaps - 1 + self.closes
+        ends = np.zeros(len(self.b_ids), dtype=bool)  # right tokens that end a group
+        ends[(np.cumsum(step) - 1)[self.closes]] = True
+        group_a, group_b = (np.cumsum(c) - c for c in (self.closes, ends))
+        a_done, b_done = np.flatnonzero(self.closes) + 1, np.flatnonzero(ends) + 1
+        marks = np.where(ends, 2, 0)
+        marks[(np.cumsum(self.b_rows) - 1)[self.b_rows > 0]] = 3
+        codes = np.empty(len(group_a) + len(group_b), dtype=np.int64)
+        codes[np.arange(len(group_a)) + np.append(0, b_done)[group_a]] = self.a_ids * 4 + self.closes
+        codes[np.arange(len(group_b)) + (a_done[group_b] if len(group_b) else 0)] = self.b_ids * 4 + marks
+        bounds = np.append(0, np.cumsum(self.a_rows + self.b_rows)).tolist()
+        return ["".join(map(said.__getitem__, codes[x:y].tolist())) for x, y in zip(bounds[:-1], bounds[1:])]
 
 
 def _merged(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,60 +336,42 @@ def _merged(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return keys, np.bincount(back, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(files):
     """Rows that hold each pair, summed over what a task reads."""
-    pairs, counts, held, known = [], [], 0, 0
-
     def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "docs"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, row, pair = _batch_links(batch)
-        own = np.unique((row << (2 * BITS)) | pair) & ((1 << 2 * BITS) - 1)  # once for each row
-        keys, n = np.unique(own, return_counts=True)
-        pairs.append(keys)
-        counts.append(n)
-        held += len(keys)
-        if held > max(HELD // 2, 2 * known):
-            pairs, counts = ([x] for x in _merged(pairs, counts))
-            held = known = len(pairs[0])
-            if held > HELD:
-                yield out(pairs[0], counts[0])
-                pairs, counts, held, known = [], [], 0, 0
-    if pairs:
-        yield out(*_merged(pairs, counts))
-
-
-def pair_counts(found: DataFrame) -> DataFrame:
-    """(pair, docs, best) over all rows of an alignment: how many rows hold each pair linked, and whether no pair of its left id has more."""
-    counts = (found.select("a_ids", "b_ids", "overlaps", "closes").mapInArrow(_counted, "pair long, docs long")
-              .groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a_id", F.shiftright("pair", BITS)))
-    counts = written(counts, "pairs")
-    most = counts.groupBy("a_id").agg(F.max("docs").alias("most"))
-    return written(counts.join(most, "a_id").select("a_id", "pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "pair_counts")
-
-
-def _scored(block):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, docs, best = block.value
+        pairs, counts, held, known = [], [], 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = batch.schema.names
-            _, row, pair = _batch_links(batch)
-            at = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
-            met = pairs[at] == pair if len(pairs) else np.zeros(len(pair), dtype=bool)
-            row, at = row[met], at[met]
-            more = {"n_best": np.bincount(row[best[at]], minlength=batch.num_rows),
-                    "count_sum": _row_sums(row, docs[at], batch.num_rows)}
-            columns = [pa.array(batch.column(k).to_numpy(zero_copy_only=False) + more[n], pa.int64()) if n in more else batch.column(k)
-                       for k, n in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            row, pair = Lists(batch, _pair(files).kind).links()
+            own = np.unique((row << (2 * BITS)) | pair) & ((1 << 2 * BITS) - 1)  # once for each row
+            keys, n = np.unique(own, return_counts=True)
+            pairs.append(keys)
+            counts.append(n)
+            held += len(keys)
+            if held > max(HELD // 2, 2 * known):
+                pairs, counts = ([x] for x in _merged(pairs, counts))
+                held = known = len(pairs[0])
+                if held > HELD:
+                    yield out(pairs[0], counts[0])
+                    pairs, counts, held, known = [], [], 0, 0
+        if pairs:
+            yield out(*_merged(pairs, counts))
     return scan
 
 
+def pair_counts(found: DataFrame, files) -> DataFrame:
+    """(a_id, pair, docs, best) over all rows of a packed alignment: how many rows hold each pair linked, and whether no pair of its left id has more."""
+    counts = (found.select("a_ids", "b_ids", "marks").mapInArrow(_counted(files), "pair long, docs long")
+              .groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a_id", F.shiftright("pair", BITS)))
+    counts = written(counts, "pairs")
+    most = counts.groupBy("a_id").agg(F.max("docs").alias("most"))
+    return written(counts.join(most, "a_id").select("a_id", "pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "pair_counts")
+
+
 def _row_sums(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     """Exact sums by row, rows in order."""
     sums = np.append(0, np.cumsum(values))
@@ -293,70 +379,57 @@ def _row_sums(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def with_counts(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """``found`` with n_best and count_sum: its links that are best of their left id, and the counts of all its links.
-
-    ``counts`` is looked up in blocks of about ``BLOCK`` pairs, whole left ids each; a block is what is broadcast, whatever the number of
-    pairs. Each further block reads the rows once more.
-    """
-    spark = found.sparkSession
-    out = found.withColumns({"n_best": F.lit(0).cast("long"), "count_sum": F.lit(0).cast("long")})
-    blocks = max(1, -(-counts.count() // BLOCK))
-    for k in range(blocks):
-        rows = counts.where(F.pmod(F.xxhash64("a_id"), F.lit(blocks)) == k).select("pair", "docs", "best").toArrow()
-        pairs, docs, best = (rows.column(c).to_numpy() for c in range(3))
-        order = np.argsort(pairs)
-        block = spark.sparkContext.broadcast((pairs[order], docs[order], best[order]))
-        out = out.mapInArrow(_scored(block), out.schema)
-        if k + 1 < blocks:
-            out = written(out, "scored")
-    return out
-
-
-def _digests(files):
+def _scored(block, files, last: bool):
+    """Adds a block's counts to n_best and count_sum; the ``last`` block's scan puts the digest columns in place of the lists."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said = _pair(files).said
+        pairs, docs, best = block.value
+        own = _pair(files)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = batch.schema.names
-            flat, _, pair = _batch_links(batch)
-            a_rows, b_rows = flat["n_a_ids"], flat["n_b_ids"]
-            closes_a, closes_b = flat["closes"].astype(bool), _closing(flat)
-            group_a, group_b = (np.cumsum(c) - c for c in (closes_a, closes_b))
-            a_done, b_done = np.flatnonzero(closes_a) + 1, np.flatnonzero(closes_b) + 1
-            codes = np.empty(len(group_a) + len(group_b), dtype=np.int64)
-            codes[np.arange(len(group_a)) + np.append(0, b_done)[group_a]] = flat["a_ids"] * 4 + closes_a
-            b_marks = np.where(closes_b, 2, 0)
-            b_marks[(np.cumsum(b_rows) - 1)[b_rows > 0]] = 3
-            codes[np.arange(len(group_b)) + (a_done[group_b] if len(group_b) else 0)] = flat["b_ids"] * 4 + b_marks
-            bounds = np.append(0, np.cumsum(a_rows + b_rows)).tolist()
-            digests = [hashlib.sha256("".join(map(said.__getitem__, codes[x:y].tolist())).encode()).hexdigest() if y > x else ""
-                       for x, y in zip(bounds[:-1], bounds[1:])]
-            n_groups = _row_sums(np.repeat(np.arange(len(a_rows)), a_rows), closes_a.astype(np.int64), len(a_rows))
-            n_links = _row_sums(np.repeat(np.arange(len(a_rows)), a_rows), flat["overlaps"], len(a_rows))
-            keep = lambda n: batch.column(names.index(n))
-            yield pa.RecordBatch.from_arrays(
-                [keep("doc_id"), *(pa.array(x, pa.int64()) for x in (a_rows, b_rows, n_groups, n_links)), keep("n_best"), keep("count_sum"),
-                 pa.array(digests, pa.string())],
-                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+            n, columns = batch.num_rows, dict(zip(batch.schema.names, batch.columns))
+            lists = Lists(batch, own.kind)
+            row, pair = lists.links()
+            n_links = np.bincount(row, minlength=n)
+            at = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
+            met = pairs[at] == pair if len(pairs) else np.zeros(len(pair), dtype=bool)
+            row, at = row[met], at[met]
+            for name, more in (("n_best", np.bincount(row[best[at]], minlength=n)), ("count_sum", _row_sums(row, docs[at], n))):
+                columns[name] = pa.array(columns[name].to_numpy(zero_copy_only=False) + more, pa.int64())
+            if last:
+                texts = lists.groups_text(own.said)
+                owner = np.repeat(np.arange(n), lists.a_rows)
+                columns = {"doc_id": columns["doc_id"], "n_a": pa.array(lists.a_rows), "n_b": pa.array(lists.b_rows),
+                           "n_groups": pa.array(np.bincount(owner[lists.closes], minlength=n)), "n_links": pa.array(n_links),
+                           "n_best": columns["n_best"], "count_sum": columns["count_sum"],
+                           "groups_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts], pa.string())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
     return scan
 
 
-def _closing(flat: dict[str, np.ndarray]) -> np.ndarray:
-    """Which right tokens end a group."""
-    step = flat["overlaps"] - 1 + flat["closes"]
-    out = np.zeros(len(flat["b_ids"]), dtype=bool)
-    out[(np.cumsum(step) - 1)[flat["closes"].astype(bool)]] = True
-    return out
+def _blocks(counts: DataFrame) -> Iterator[tuple[tuple[np.ndarray, ...], bool]]:
+    """(pair, docs, best) arrays of about BLOCK pairs, sorted by pair, with whole left ids each, and whether it is the last block."""
+    blocks = max(1, -(-counts.count() // BLOCK))
+    for k in range(blocks):
+        rows = counts.where(F.pmod(F.xxhash64("a_id"), F.lit(blocks)) == k).select("pair", "docs", "best").toArrow()
+        columns = [rows.column(c).to_numpy() for c in range(3)]
+        order = np.argsort(columns[0])
+        yield tuple(c[order] for c in columns), k + 1 == blocks
 
 
-def alignment_digest(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for every row of ``docs``; see ``alignment`` for the cases."""
-    spark = docs.sparkSession
-    found = written(alignment(docs, byte_model=byte_model, piece_model=piece_model), "aligned")
-    files = spark.sparkContext.broadcast(load_files(byte_model, piece_model))
-    scored = with_counts(found, pair_counts(found))
-    schema = T.StructType([T.StructField(n, T.StringType() if n == "groups_sha256" else T.LongType()) for n in
-                           ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")])
-    return scored.mapInArrow(_digests(files), schema)
+def alignment_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for every row of ``docs``; see ``alignment`` for the cases.
+
+    The counts are looked up in blocks; a block is what is broadcast, whatever the number of pairs, and each further block reads the rows once more.
+    """
+    context = docs.sparkSession.sparkContext
+    found = written(_aligned(docs, doc_id, text, byte_model, piece_model), "aligned")
+    files = context.broadcast(load_files(byte_model, piece_model))
+    counts = pair_counts(found, files)
+    out = found.withColumns({"n_best": F.lit(0).cast("long"), "count_sum": F.lit(0).cast("long")})
+    for block, last in _blocks(counts):
+        scan = _scored(context.broadcast(block), files, last)
+        if not last:
+            out = written(out.mapInArrow(scan, out.schema), "scored")
+    names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    return out.mapInArrow(scan, ", ".join(f"{n} long" for n in names) + ", groups_sha256 string")

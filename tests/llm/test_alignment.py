@@ -104,3 +104,21 @@ def test_empty_table_and_rows_without_id(spark):
     assert al.alignment_digest(empty).collect() == []
     rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")
     assert sorted(r["n_a"] for r in al.alignment_digest(rows).collect()) == [0, 2, 2]
+
+
+def test_general_output(spark, tools):
+    texts = odd_texts()[12:30]
+    got = sorted(al.alignment(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r["doc_id"])
+    for r, t, want in zip(got, texts, plain(texts, tools)):
+        assert len(r["a_ids"]) == len(r["overlaps"]) == len(r["closes"]) == want[0] and sum(r["overlaps"]) == want[3] and sum(r["closes"]) == want[2]
+        assert r["b_ids"] == (tools[1].encode(t) if want[0] else [])
+
+
+def test_remembered_words_and_parts_change_nothing(tools, monkeypatch):
+    monkeypatch.setattr(al, "REMEMBERED", 10)
+    pair, texts = al.Pair(al.load_files()), odd_texts()[3:]
+    for _ in range(2):
+        for t, b in zip(texts, pair.b_ids(texts)):
+            assert b is None or b.tolist() == tools[1].encode(t)
+    pair.whole_texts = True
+    assert [x is None for x in pair.b_ids(texts)] == ["▁" in t for t in texts]
