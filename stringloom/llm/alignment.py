@@ -11,7 +11,6 @@ their steps together.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -39,9 +38,8 @@ BITS = 20
 #: Pairs whose counts a task holds before it hands them on, and pairs of one broadcast block. Neither bounds what is counted or looked up.
 HELD = 2_000_000
 BLOCK = 2_000_000
-#: Bytes of text that a task aligns at once (a longer text alone), and words whose piece ids it remembers; both only bound memory.
+#: Bytes of text that a task aligns at once (a longer text alone); it only bounds memory.
 AT_ONCE = 1 << 18
-REMEMBERED = 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -86,9 +84,6 @@ class Pair:
             raise ValueError(f"a vocabulary has more than {1 << BITS} ids")
         self.kind = _kind(max(len(self.a_bytes), n))
         self.a_size, self.b_size = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.cutter = re.compile(" +[^ ]*")
-        self.whole_texts = any("▁" in piece(i).lstrip("▁") for i in range(n) if not (self.pieces.is_control(i) or self.pieces.is_byte(i)))
-        self._forget()
         self.said = [f"{i}{mark}" for i in range(max(len(self.a_bytes), n)) for mark in (",", "|", ";", "")]
 
     def a_ids(self, text: str) -> np.ndarray:
@@ -96,54 +91,17 @@ class Pair:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.int64)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        """Piece ids of new words, each a space or more and what follows them, and whether they spell the word."""
-        mark = [self.pieces.piece_to_id("▁")]
-        found = [ids or mark for ids in self.pieces.encode([w[1:] for w in words], num_threads=1)]  # the library adds the first space
-        base = len(self.number)
-        self.number.update(zip(words, range(base, base + len(words))))
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum()))
-        spelled = np.array([b"".join(map(self.b_bytes.__getitem__, ids)) == w.encode() for ids, w in zip(found, words)], dtype=bool)
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        self.flat, self.spelled = np.concatenate([self.flat, flat]), np.concatenate([self.spelled, spelled])
-
-    def b_ids(self, texts: list[str]) -> list[np.ndarray | None]:
-        """Piece ids of all texts, None where they do not spell a space and the text.
-
-        No piece has its mark for a space behind another character, so no merge crosses the border before a space and words are encoded once each.
-        """
-        if self.whole_texts:
-            found = [np.array(ids, dtype=np.int64) for ids in self.pieces.encode(texts, num_threads=1)]
-            return [ids if b"".join(map(self.b_bytes.__getitem__, ids.tolist())) == (" " + t).encode() else None for ids, t in zip(found, texts)]
-        if len(self.number) > REMEMBERED:
-            self._forget()
-        cut = [self.cutter.findall(" " + t) for t in texts]
-        new = list(set(itertools.chain.from_iterable(cut)) - self.number.keys())
-        if new:
-            self._learn(new)
-        out = []
-        for words in cut:
-            at = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-            size = self.begin[at + 1] - self.begin[at]
-            where = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            out.append(self.flat[where] if self.spelled[at].all() else None)
-        return out
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.begin, self.flat, self.spelled = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of all texts by both tokenizers; none where the tokens' bytes are not a space and the text."""
         empty = np.zeros(0, dtype=np.int64)
         left, right = [empty] * len(texts), [empty] * len(texts)
         rows = [r for r, t in enumerate(texts) if t]
-        for r, b in zip(rows, self.b_ids([texts[r] for r in rows])):
-            if b is not None:
+        for r, b in zip(rows, self.pieces.encode([texts[r] for r in rows], num_threads=1)):
+            whole = (" " + texts[r]).encode()
+            if b"".join(map(self.b_bytes.__getitem__, b)) == whole:
                 a = self.a_ids(" " + texts[r])
-                if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == b" " + texts[r].encode():
-                    left[r], right[r] = a, b
+                if int(self.a_size[a].sum()) == len(whole):  # byte-level tokens are cuts of the text's bytes, so their lengths tell
+                    left[r], right[r] = a, np.array(b, dtype=np.int64)
         return left, right
 
 

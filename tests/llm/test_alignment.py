@@ -114,11 +114,8 @@ def test_general_output(spark, tools):
         assert r["b_ids"] == (tools[1].encode(t) if want[0] else [])
 
 
-def test_remembered_words_and_parts_change_nothing(tools, monkeypatch):
-    monkeypatch.setattr(al, "REMEMBERED", 10)
-    pair, texts = al.Pair(al.load_files()), odd_texts()[3:]
-    for _ in range(2):
-        for t, b in zip(texts, pair.b_ids(texts)):
-            assert b is None or b.tolist() == tools[1].encode(t)
-    pair.whole_texts = True
-    assert [x is None for x in pair.b_ids(texts)] == ["▁" in t for t in texts]
+def test_parts_change_nothing(spark, tools, monkeypatch):
+    monkeypatch.setattr(al, "AT_ONCE", 50)
+    texts = odd_texts()[:60]
+    rows = al.alignment_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert [tuple(r)[1:] for r in sorted(rows)] == plain(texts, tools)
