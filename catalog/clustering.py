@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stringloom.functions.text import words
@@ -9,10 +10,12 @@ from stringloom.operators import neighbours, vectors
 from stringloom.operators.clusters import numbering
 from stringloom.operators.clusters.dbscan import dbscan
 from stringloom.operators.clusters.hdbscan import hdbscan
-from stringloom.operators.clusters.kmeans import kmeans
+from stringloom.operators.clusters.kmeans import centre_distances, fitted_kmeans, kmeans
 from stringloom.operators.clusters.optics import optics_at
-from stringloom.operators.clusters.spectral import spectral
-from stringloom.operators.clusters.ward import agglomerative
+from stringloom.operators.clusters.spectral import TOLERANCE, spectral, spectral_embedding
+from stringloom.operators.clusters.ward import agglomerative, ward_labels, ward_merges
+from stringloom.operators.spanning import spanning_edges
+from stringloom.plans.ranking import with_position
 from stringloom.plans.scratch import scratch_path, written
 from stringloom.sources import sinks
 
@@ -125,10 +128,61 @@ def close_pairs_loose(spark, sf):
 def kth_neighbour_distance(spark, sf):
     tv = vectors.term_vectors(strings(spark, sf))
     pairs = written(neighbours.close_pairs(tv.vectors, 0.5), "pairs")
-    core = neighbours.core_distances(tv.vectors, pairs, 4)
+    core = neighbours.core_distances(tv.vectors, neighbours.both_ways(pairs), 4)
     return vectors.spread_to_rows(tv, core).select("id", F.round("core", 6).alias("core"))
 
 
+def _all_pairs(base: str) -> str:
+    """SQL for the distances of all pairs of distinct vectors, both ways: dir(vec, nbr, dist)."""
+    return f"""{_first_copies(base)},
+  sizes AS (SELECT min(id) AS vec, count(*) AS copies FROM sig GROUP BY sig),
+  own AS (SELECT s.id, coalesce(sum(w * w), 0.0) AS sq FROM s LEFT JOIN wts USING (id) GROUP BY s.id),
+  dots AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS dot FROM wts a JOIN wts b ON a.term = b.term
+           WHERE a.id IN (SELECT vec FROM sizes) AND b.id IN (SELECT vec FROM sizes) GROUP BY a.id, b.id),
+  gaps AS (SELECT x.vec, y.vec AS nbr, y.copies, sqrt(greatest(0.0, p.sq + q.sq - 2 * coalesce(dot, 0.0))) AS dist
+           FROM sizes x JOIN sizes y ON x.vec <> y.vec JOIN own p ON p.id = x.vec JOIN own q ON q.id = y.vec LEFT JOIN dots ON a = x.vec AND b = y.vec),
+  dir AS (SELECT vec, nbr, copies, CASE WHEN dist < 1e-7 THEN 0.0 ELSE dist END AS dist FROM gaps)"""
+
+
+def _core(min_samples: int) -> str:
+    """SQL for the distance of each distinct vector to its ``min_samples``-th row: core(vec, copies, core)."""
+    return f"""
+  reached AS (SELECT vec, dist, sum(copies) OVER (PARTITION BY vec ORDER BY dist, nbr ROWS UNBOUNDED PRECEDING) AS rows FROM dir),
+  core AS (SELECT z.vec, any_value(z.copies) AS copies, CASE WHEN any_value(z.copies) >= {min_samples} THEN 0.0
+           ELSE min(CASE WHEN z.copies + r.rows >= {min_samples} THEN r.dist END) END AS core
+           FROM sizes z LEFT JOIN reached r ON r.vec = z.vec GROUP BY z.vec)"""
+
+
+def _core_distances(spark, sf, *source):
+    tv = vectors.term_vectors(strings(spark, sf, *source))
+    core = neighbours.core_distances(tv.vectors, neighbours.nearest_rows(tv.vectors, 4), 4)
+    return vectors.spread_to_rows(tv, core).select("id", F.round("core", 6).alias("core"))
+
+
+def _core_sql(base: str) -> str:
+    return f"""WITH {_all_pairs(base)}, {_core(4)}
+  SELECT s.id, round(core, 6) AS core FROM s JOIN sig USING (id) JOIN reps USING (sig) JOIN core ON core.vec = reps.vec"""
+
+
+@query("core_distance_documents", _core_sql(DOCS))
+def core_distance_documents(spark, sf):
+    return _core_distances(spark, sf)
+
+
+@query("core_distance_parts", _core_sql(PARTS))
+def core_distance_parts(spark, sf):
+    return _core_distances(spark, sf, "part")
+
+
+@query("nearest_documents", f"""WITH {_all_pairs(DOCS)},
+  ranked AS (SELECT vec, dist, row_number() OVER (PARTITION BY vec ORDER BY dist, nbr) AS place FROM dir)
+  SELECT vec, place, round(dist, 6) AS dist FROM ranked WHERE place <= 5""")
+def nearest_documents(spark, sf):
+    tv = vectors.term_vectors(strings(spark, sf))
+    place = F.row_number().over(Window.partitionBy("vec").orderBy("dist", "nbr"))
+    return neighbours.nearest_rows(tv.vectors, 5).select("vec", place.cast("long").alias("place"), F.round("dist", 6).alias("dist"))
+
+
 # ---- density clusters ----------------------------------------------------------------------------------------
 
 @query("dbscan_documents", f"{_dbscan_sql(DOCS, 0.2, 3)} SELECT * FROM result")
@@ -169,7 +223,23 @@ def cluster_report_order(spark, sf):
 
 @query("hdbscan_documents")
 def hdbscan_documents(spark, sf):
-    return hdbscan(strings(spark, sf), min_samples=4, min_cluster_size=3, max_dist=0.5)
+    return hdbscan(strings(spark, sf), min_samples=4, min_cluster_size=3)
+
+
+@query("spanning_tree_parts", f"""
+  WITH RECURSIVE {_all_pairs(PARTS)}, {_core(4)},
+  edge AS MATERIALIZED (SELECT d.vec AS a, d.nbr AS b, greatest(d.dist, x.core, y.core) AS w FROM dir d JOIN core x ON x.vec = d.vec JOIN core y ON y.vec = d.nbr),
+  tree(step, met, w) AS (
+    SELECT 0, [min(vec)], 0.0::DOUBLE FROM sizes
+    UNION ALL
+    SELECT step + 1, list_append(met, e.b), e.w FROM tree, LATERAL (
+      SELECT b, w FROM edge WHERE list_contains(met, a) AND NOT list_contains(met, b) ORDER BY w, b LIMIT 1) e)
+  SELECT row_number() OVER (ORDER BY w) AS place, round(w, 6) AS dist FROM tree WHERE step > 0""")
+def spanning_tree_parts(spark, sf):
+    tv = vectors.term_vectors(strings(spark, sf, "part"))
+    core = written(neighbours.core_distances(tv.vectors, neighbours.nearest_rows(tv.vectors, 4), 4), "core")
+    edges = with_position(spanning_edges(tv.vectors, core), ["dist", "a", "b"], "place")
+    return edges.select((F.col("place") + 1).alias("place"), F.round("dist", 6).alias("dist"))
 
 
 @query("hdbscan_parts")
@@ -202,6 +272,21 @@ def kmeans_documents(spark, sf):
     return kmeans(strings(spark, sf), 10)
 
 
+@query("kmeans_check_documents", """SELECT 10 AS clusters, count(*) AS rows, 0::BIGINT AS nearer_elsewhere, 0::BIGINT AS rises FROM documents""")
+def kmeans_check_documents(spark, sf):
+    """How many rows are nearer to another cluster's centre, and how often the objective rose: none and never."""
+    tv = vectors.term_vectors(strings(spark, sf))
+    fitted = fitted_kmeans(tv, 10)
+    squares = [r[1] for r in sorted(fitted.centres.groupBy("c").agg(F.sum(F.col("x") * F.col("x"))).collect())]
+    near = centre_distances(tv.vectors, tv, fitted.centres, squares)
+    own = F.filter("near", lambda e: e["c"] == F.col("label"))[0]["d2"]
+    wrong = F.when(own > F.col("near")[0]["d2"] + 1e-9, F.col("copies")).otherwise(0)
+    rises = sum(b > a + 1e-9 for a, b in zip(fitted.objective, fitted.objective[1:]))
+    return fitted.rows.join(near, "vec").agg(
+        F.countDistinct("label").cast("int").alias("clusters"), F.sum("copies").alias("rows"), F.sum(wrong).cast("long").alias("nearer_elsewhere"),
+        F.lit(rises).cast("long").alias("rises"))
+
+
 @query("kmeans_parts")
 def kmeans_parts(spark, sf):
     return kmeans(strings(spark, sf, "part"), 10)
@@ -212,7 +297,46 @@ def agglomerative_documents(spark, sf):
     return agglomerative(strings(spark, sf), 8)
 
 
-@query("agglomerative_parts")
+@query("agglomerative_sizes_documents", f"""WITH {_first_copies(DOCS)}
+  SELECT least(8, (SELECT count(*) FROM reps)) AS clusters, count(*) AS rows, 0::BIGINT AS torn, 0::BIGINT AS falls FROM s""")
+def agglomerative_sizes_documents(spark, sf):
+    """Clusters and rows, strings whose copies were torn apart, and merges that stand lower than one of their parts."""
+    tv = vectors.term_vectors(strings(spark, sf))
+    merges = ward_merges(tv.vectors)
+    named = merges.select("a", "round", "height").unionByName(merges.select(F.col("b").alias("a"), "round", "height"))
+    before = Window.partitionBy("a").orderBy("round")
+    falls = named.withColumn("last", F.lag("height").over(before)).agg(F.coalesce(F.sum((F.col("height") < F.col("last")).cast("long")), F.lit(0)).alias("falls"))
+    rows = vectors.spread_to_rows(tv, ward_labels(tv, 8))
+    torn = rows.groupBy("vec").agg(F.countDistinct("label").alias("n")).agg(F.count_if(F.col("n") > 1).alias("torn"))
+    counts = rows.agg(F.countDistinct("label").alias("clusters"), F.count(F.lit(1)).alias("rows"))
+    return counts.crossJoin(torn).crossJoin(falls)
+
+
+def _ward_sql(base: str, k: int) -> str:
+    """Cheapest pair first, with the update formula of Lance and Williams on the table of all pairs."""
+    return f"""
+  WITH RECURSIVE {_all_pairs(base)},
+  st(step, a, b, d, na, nb) AS (
+    SELECT 0, x.vec, y.vec, x.copies * y.copies / (x.copies + y.copies)::DOUBLE * dist * dist, x.copies::DOUBLE, y.copies::DOUBLE
+    FROM dir JOIN sizes x ON x.vec = dir.vec JOIN sizes y ON y.vec = nbr WHERE x.vec < y.vec
+    UNION ALL
+    (WITH now AS MATERIALIZED (SELECT * FROM st),
+      m AS MATERIALIZED (SELECT a AS i, b AS j, d AS dij, na AS ni, nb AS nj FROM now ORDER BY d, a, b LIMIT 1),
+      ends AS (SELECT a AS e, b AS o, d, nb AS n FROM now UNION ALL SELECT b, a, d, na FROM now),
+      fresh AS (SELECT i, x.o AS k, ((x.n + ni) * x.d + (x.n + nj) * y.d - x.n * dij) / (x.n + ni + nj) AS d, ni + nj AS n, x.n AS nk
+                FROM m JOIN ends x ON x.e = i AND x.o <> j JOIN ends y ON y.e = j AND y.o = x.o)
+     SELECT step + 1, a, b, d, na, nb FROM now, m WHERE a NOT IN (i, j) AND b NOT IN (i, j) AND (SELECT count(*) FROM now) > {k * (k - 1) // 2}
+     UNION ALL
+     SELECT (SELECT any_value(step) FROM now) + 1, least(i, k), greatest(i, k), d, CASE WHEN i < k THEN n ELSE nk END, CASE WHEN i < k THEN nk ELSE n END
+     FROM fresh WHERE (SELECT count(*) FROM now) > {k * (k - 1) // 2})),
+  merged AS (SELECT arg_min(a, (d, a, b)) AS i, arg_min(b, (d, a, b)) AS j FROM st WHERE step < (SELECT max(step) FROM st) GROUP BY step),
+  up(vec, here) AS (SELECT vec, vec FROM sizes UNION ALL SELECT vec, i FROM up JOIN merged ON j = here),
+  rooted AS (SELECT vec, min(here) AS root FROM up GROUP BY vec),
+  placed AS (SELECT vec, dense_rank() OVER (ORDER BY root) - 1 AS label FROM rooted)
+  SELECT id, label, false AS is_noise, label + 1 AS cluster FROM sig JOIN reps USING (sig) JOIN placed ON placed.vec = reps.vec"""
+
+
+@query("agglomerative_parts", _ward_sql(PARTS, 8))
 def agglomerative_parts(spark, sf):
     return agglomerative(strings(spark, sf, "part"), 8)
 
@@ -222,6 +346,15 @@ def spectral_documents(spark, sf):
     return spectral(strings(spark, sf), 6)
 
 
+@query("spectral_check_documents", "SELECT range AS pair, true AS settled, CASE WHEN range = 0 THEN 1.0 END AS leading FROM range(6)")
+def spectral_check_documents(spark, sf):
+    """Whether every eigenpair's residual is within the tolerance; the leading eigenvalue of a normalised affinity is 1."""
+    tv = vectors.term_vectors(strings(spark, sf))
+    _, values, residuals = spectral_embedding(tv.vectors, 6)
+    rows = [(j, bool(r <= TOLERANCE * v), round(float(v), 6) if j == 0 else None) for j, (v, r) in enumerate(zip(values, residuals))]
+    return spark.createDataFrame(rows, "pair long, settled boolean, leading double")
+
+
 @query("spectral_parts")
 def spectral_parts(spark, sf):
     return spectral(strings(spark, sf, "part"), 6)

@@ -1,8 +1,9 @@
-"""Similarity self-join of unit vectors and the k-th neighbour distance."""
+"""Similarity self-join of unit vectors, nearest neighbours and the k-th neighbour distance."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import unit_distance
 from ..plans.scratch import written
+from .tiles import Side, meet
 
 TOLERANCE = 1e-9
 SAME = 1e-7  # rounding of the dot product reaches about 4e-8 for parallel vectors
@@ -117,18 +119,59 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return forth.unionByName(back)
 
 
-def core_distances(vectors: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
+def _ranked(row: np.ndarray, k: int, *order: np.ndarray) -> np.ndarray:
+    """Positions of the first ``k`` entries of each row, by ``order`` (first key first)."""
+    by = np.lexsort((*order[::-1], row))
+    begin = np.concatenate([[0], np.flatnonzero(np.diff(row[by])) + 1]) if len(by) else by
+    place = np.arange(len(by)) - np.repeat(begin, np.diff(np.append(begin, len(by))))
+    return by[place < k]
+
+
+def smallest(values: np.ndarray, k: int, order: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` smallest finite values of each row of a matrix; ``order(row, column)`` breaks ties."""
+    at = min(k, values.shape[1]) - 1
+    row, column = np.nonzero((values <= np.partition(values, at, axis=1)[:, at:at + 1]) & np.isfinite(values))
+    kept = _ranked(row, k, values[row, column], *order(row, column))
+    return row[kept], column[kept]
+
+
+def tile_distances(left: Side, right: Side, dots: np.ndarray) -> np.ndarray:
+    """Distances of two blocks' rows; infinite between a row and itself."""
+    out = np.sqrt(np.maximum(0.0, left.squares[:, None] + right.squares[None, :] - 2 * dots))
+    out[out < SAME] = 0.0
+    out[left["vec"][:, None] == right["vec"][None, :]] = np.inf
+    return out
+
+
+def nearest_rows(vectors: DataFrame, k: int) -> DataFrame:
+    """(vec, nbr, dist, nbr_copies): the ``k`` nearest vectors of each one, ties to the smaller id, whatever their distance.
+
+    Exact, without a radius: tiles keep the ``k`` nearest of each row, and the tiles' answers meet by a ranked window whose limit applies before the
+    shuffle.
+    """
+    def compare(left: Side, right: Side, dots: np.ndarray) -> dict[str, np.ndarray]:
+        d = tile_distances(left, right, dots)
+        row, column = smallest(d, k, lambda _, c: (right["vec"][c],))
+        return {"vec": left["vec"][row], "nbr": right["vec"][column], "dist": d[row, column], "nbr_copies": right["copies"][column]}
+
+    side = vectors.select("vec", "copies", "terms", "weights")
+    found = meet(side, side, compare, "vec long, nbr long, dist double, nbr_copies long")
+    nearest = Window.partitionBy("vec").orderBy("dist", "nbr")
+    return found.withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= k).drop("at")
+
+
+def core_distances(vectors: DataFrame, nbrs: DataFrame, min_samples: int) -> DataFrame:
     """(vec, copies, core): distance to the ``min_samples``-th row, the row itself and its copies counted.
 
-    NULL where the neighbourhood covered by ``pairs`` holds too few rows. Only the nearest ``min_samples``
-    neighbours of a vector matter; the row-number limit is applied before the shuffle, so hubs stay cheap.
+    ``nbrs`` are directed (vec, nbr, dist, nbr_copies); NULL where they hold too few rows. Only the nearest ``min_samples`` neighbours of a vector
+    matter; the row-number limit is applied before the shuffle, so hubs stay cheap.
     """
     nearest = Window.partitionBy("vec").orderBy("dist", "nbr")
-    nbrs = (
-        both_ways(pairs).withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= min_samples)
+    ranked = (
+        nbrs.withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= min_samples)
         .withColumn("rows", F.sum("nbr_copies").over(nearest.rowsBetween(Window.unboundedPreceding, 0)))
         .select("vec", "dist", "rows")
     )
-    reached = vectors.select("vec", "copies").join(nbrs, "vec", "left").groupBy("vec", "copies").agg(
+    reached = vectors.select("vec", "copies").join(ranked, "vec", "left").groupBy("vec", "copies").agg(
         F.min(F.when(F.col("copies") + F.col("rows") >= min_samples, F.col("dist"))).alias("far"))
     return reached.select("vec", "copies", F.when(F.col("copies") >= min_samples, 0.0).otherwise(F.col("far")).alias("core"))

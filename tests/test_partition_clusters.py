@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from stringloom.operators.clusters.kmeans import kmeans
 from stringloom.operators.clusters.spectral import spectral_embedding
-from stringloom.operators.clusters.ward import agglomerative, cut_merges
+from stringloom.operators.clusters.ward import agglomerative
 from stringloom.operators.vectors import term_vectors
 from tests import brute
 
@@ -40,21 +40,57 @@ def test_ward_equals_greedy_merging(spark, texts, k):
     assert brute.partition(labels_of(agglomerative(frame, k))) == want
 
 
-def test_ward_counts_copies():
-    x = np.array([[1.0, 0], [0.9, 0.2], [0, 1.0], [0.1, 0.8], [0.5, 0.5]])
-    copies = np.array([3, 1, 2, 1, 4])
-    rows = np.repeat(np.arange(5), copies)
-    sums = x * copies[:, None]
-    owner = cut_merges(sums @ sums.T, copies, 2)
-    assert brute.partition(owner[rows]) == brute.partition(greedy_ward(x[rows], 2))
+def fast_ward(x, copies, k):
+    """The same merging by the update formula, for a thousand rows."""
+    n, owner = copies.astype(float), np.arange(len(x))
+    d = ((x[:, None, :] - x[None]) ** 2).sum(2) if len(x) < 200 else np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T)
+    d = np.outer(n, n) / (n[:, None] + n[None]) * d
+    np.fill_diagonal(d, np.inf)
+    for _ in range(len(x) - k):
+        i, j = sorted(divmod(int(np.argmin(d)), len(x)))
+        price = d[i, j]
+        with np.errstate(invalid="ignore"):
+            row = ((n + n[i]) * d[i] + (n + n[j]) * d[j] - n * price) / (n + n[i] + n[j])
+        row[i], row[np.isnan(row)] = np.inf, np.inf
+        n[i] += n[j]
+        d[j], d[:, j] = np.inf, np.inf
+        row[j] = np.inf
+        row[~np.isfinite(d.min(1))] = np.inf
+        d[i], d[:, i] = row, row
+        owner[owner == j] = i
+    return owner
 
 
-def test_ward_through_micro_groups(spark, texts, monkeypatch):
-    from stringloom.operators.clusters import ward
-    monkeypatch.setattr(ward, "MAX_EXACT", 10)
+def test_ward_counts_copies(spark):
+    texts = ["red ring"] * 3 + ["red ring gold", "blue bolt", "blue bolt", "blue bolt steel", "tin cup"] + ["tin cup big"] * 4
     frame = spark.createDataFrame(list(enumerate(texts)), "id long, string string")
-    got = labels_of(ward.agglomerative(frame, 5, micro=20))
-    assert set(got) == set(range(5)) and len(got) == len(texts)
+    assert brute.partition(labels_of(agglomerative(frame, 4))) == brute.partition(greedy_ward(brute.tfidf(texts), 4))
+
+
+@pytest.mark.parametrize("group,listed", [(12, 12), (25, 3)])
+def test_ward_in_many_groups_and_rounds(spark, texts, monkeypatch, group, listed):
+    from stringloom.operators.clusters import ward
+    monkeypatch.setattr(ward, "GROUP", group)
+    monkeypatch.setattr(ward, "LISTED", listed)
+    unique = sorted(set(texts))
+    frame = spark.createDataFrame(list(enumerate(unique)), "id long, string string")
+    assert brute.partition(labels_of(agglomerative(frame, 5))) == brute.partition(greedy_ward(brute.tfidf(unique), 5))
+
+
+def test_ward_of_a_thousand_documents(spark):
+    import duckdb
+    rows = duckdb.sql("select min(text) from '/root/testdata/sf0.01/documents.parquet' group by list_sort(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'))").fetchall()
+    unique = sorted(r[0] for r in rows)
+    frame = spark.createDataFrame(list(enumerate(unique)), "id long, string string")
+    want = fast_ward(brute.tfidf(unique), np.ones(len(unique)), 8)
+    assert brute.partition(labels_of(agglomerative(frame, 8))) == brute.partition(want)
+
+
+def test_ward_of_one_row_and_of_equal_distances(spark):
+    one = spark.createDataFrame([(1, "only one"), (2, "only one")], "id long, string string")
+    assert labels_of(agglomerative(one, 3)).tolist() == [0, 0]
+    apart = spark.createDataFrame([(i, f"w{i:02d}") for i in range(9)], "id long, string string")
+    assert len(set(labels_of(agglomerative(apart, 4)).tolist())) == 4
 
 
 def test_kmeans_rows_sit_at_nearest_centre(text_frame, texts):
@@ -64,10 +100,48 @@ def test_kmeans_rows_sit_at_nearest_centre(text_frame, texts):
     assert np.all(gaps[np.arange(len(x)), got] <= gaps.min(1) + 1e-6)
 
 
-def test_spectral_eigenvalues_are_exact_when_all_rows_are_landmarks(text_frame, texts):
-    embedded, values = spectral_embedding(term_vectors(text_frame).vectors, 5)
+def test_kmeans_counts_copies_and_settles(spark, texts):
+    from stringloom.operators.clusters.kmeans import fitted_kmeans
+    rows = texts + [texts[0]] * 30 + ["", "."]
+    tv = term_vectors(spark.createDataFrame(list(enumerate(rows)), "id long, string string"))
+    fitted = fitted_kmeans(tv, 5)
+    assert all(b <= a + 1e-9 for a, b in zip(fitted.objective, fitted.objective[1:]))
+    assert fitted.asked[-1] < fitted.asked[0] and len(fitted.objective) > 1
+    x, got = brute.tfidf(rows), labels_of(kmeans(spark.createDataFrame(list(enumerate(rows)), "id long, string string"), 5))
+    centres = np.array([x[got == j].mean(0) for j in range(5)])
+    gaps = ((x[:, None, :] - centres[None]) ** 2).sum(2)
+    assert np.all(gaps[np.arange(len(x)), got] <= gaps.min(1) + 1e-6)
+    assert abs(fitted.objective[-1] - gaps[np.arange(len(x)), got].sum()) < 1e-6
+
+
+def test_kmeans_with_fewer_rows_than_clusters(spark):
+    frame = spark.createDataFrame([(1, "red ring"), (2, "red ring"), (3, "tin cup"), (4, "")], "id long, string string")
+    assert labels_of(kmeans(frame, 6)).tolist() in ([a, a, b, c] for a in range(3) for b in range(3) for c in range(3) if len({a, b, c}) == 3)
+
+
+def test_spectral_eigenvalues_equal_the_dense_ones(spark, text_frame, texts):
+    embedded, values, residuals = spectral_embedding(term_vectors(text_frame).vectors, 5)
     w = np.exp(-brute.distances(brute.tfidf(texts)) ** 2)
     d = w.sum(1)
     want = np.sort(np.linalg.eigvalsh(w / np.sqrt(np.outer(d, d))))[::-1][:5]
     assert np.allclose(values, want, atol=1e-6)
+    assert np.all(residuals <= 1e-3 * values)
     assert embedded.where(F.size("embedding") != 5).isEmpty()
+    # the coordinates are eigenvectors of the random walk
+    at = {r["vec"]: r["embedding"] for r in embedded.collect()}
+    key = {t: i for i, t in reversed(list(enumerate(texts)))}
+    names = sorted(at)
+    m = (w / d[:, None])[np.ix_(names, names)] * np.array([sum(sorted(u.split()) == sorted(texts[v].split()) for u in texts) for v in names])
+    v = np.array([at[n] for n in names])
+    assert np.allclose(m @ v, v * values, atol=1e-3) and key
+
+
+def test_tiles_of_any_size_give_the_same_neighbours(spark, texts, monkeypatch):
+    from stringloom.operators import neighbours, tiles
+    tv = term_vectors(spark.createDataFrame(list(enumerate([*texts, ""])), "id long, string string"))
+    whole = sorted(map(tuple, neighbours.nearest_rows(tv.vectors, 4).collect()))
+    monkeypatch.setattr(tiles, "ROWS", 17)
+    cut = sorted(map(tuple, neighbours.nearest_rows(tv.vectors, 4).collect()))
+    assert [r[:2] for r in whole] == [r[:2] for r in cut] and np.allclose([r[2] for r in whole], [r[2] for r in cut])
+    d = brute.distances(brute.tfidf([*texts, ""]))
+    assert np.allclose([r[2] for r in whole], [d[r[0], r[1]] for r in whole], atol=1e-7)
