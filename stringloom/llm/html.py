@@ -37,12 +37,17 @@ _UNWANTED = (r"ads?|advert\w*|banner|sponsor\w*|promo\w*|breadcrumbs?|comments?|
              r"sharing|social|pag(?:er|ination)|copyright|legal|skip\w*|hidden")
 NOT_ARTICLE = re.compile(rf"(?:^|[-_\s])(?:{_UNWANTED})(?=$|[-_\s\d])", re.I)
 _UNWANTED_WORD = re.compile(_UNWANTED, re.I)
-#: Words of the list for inserted units, which are no part of an article that they stand in either.
-_INSERTED_WORD = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|breadcrumbs?|disqus|newsletter|signup|login|popup|hidden", re.I)
+#: Words of the list for inserted units, which are no part of an article that they stand in either, and those of them for what readers wrote.
+_THREAD = r"comments?|replies|respond|disqus"
+_INSERTED_WORD = re.compile(rf"ads?|advert\w*|sponsor\w*|promo\w*|breadcrumbs?|{_THREAD}|newsletter|signup|login|popup|hidden", re.I)
+_THREAD_WORD = re.compile(_THREAD, re.I)
+#: Units of which a list of readers' texts consists; so many of one shape make a list.
+UNITS = frozenset("li article div section dd blockquote".split())
+LIKE_SHAPED = 2
 #: Words that only say where an element is or what kind of box.
 LAYOUT = frozenset(
     "js is has slot anchor box container wrap wrapper block blocks area section list bar unit inner outer content site page top bottom left right main primary secondary global "
-    "button buttons btn link links icon icons item items form panel row col column module component posts articles stories title message".split())
+    "button buttons btn link links icon icons item items form panel row col column module component posts articles stories title message body text thread threads entry".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTROLS = frozenset("input textarea select button".split())
 #: A marked element in doubt goes when links make this share of its text, or a form control stands for every so many characters.
@@ -54,8 +59,9 @@ ARTICLE = re.compile(r"(?:^|[-_\s])(?:article\w*|content|main|post\w*|entry|body
 LONG_PATH = 400
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# A comment may end at once; a quote opens a value only behind an equals sign, anywhere else it is a character like any other.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
 _HEADING_PARENTS = ("article", "main", "section")
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[-_\d]+")
@@ -90,15 +96,17 @@ class Node:
 class Suspect:
     """A marked element that may still belong to the article, with what its text consists of."""
 
-    __slots__ = ("outer", "alone", "headings", "controls", "chars", "linked", "out")
+    __slots__ = ("outer", "alone", "thread", "units", "headings", "controls", "chars", "linked", "out")
 
-    def __init__(self, outer: Suspect | None, alone: bool):
+    def __init__(self, outer: Suspect | None, alone: bool, thread: bool = False):
         self.outer, self.alone = outer, alone  # alone: the mark suffices unless there is a heading
+        self.thread, self.units = thread, {}  # thread: units of one shape, counted by their paths, suffice
         self.headings = self.controls = self.chars = self.linked = 0
 
     def settle(self) -> None:
         dense = self.linked > 0 and self.linked >= LINK_SHARE * self.chars or self.controls * CONTROL_CHARS > self.chars
-        self.out = dense or self.alone and not self.headings or self.outer is not None and self.outer.out
+        listed = self.thread and max(self.units.values(), default=0) >= LIKE_SHAPED
+        self.out = dense or listed or self.alone and not self.headings or self.outer is not None and self.outer.out
 
 
 class Page:
@@ -180,8 +188,11 @@ class Page:
             barred = here.barred or hidden or self._barred(tag, here)
             doubt = None if barred or not mark else self._doubt(tag, attributes, here)
             here = Node(tag, mark if tag != "a" else "", here, barred or doubt == "sure")
+            if here.suspect is not None and here.suspect.thread and tag in UNITS:
+                here.suspect.units[here.path] = here.suspect.units.get(here.path, 0) + 1
             if doubt in ("alone", "dense"):
-                here.suspect = Suspect(here.suspect, doubt == "alone")
+                thread = all(map(_THREAD_WORD.fullmatch, filter(None, _PARTS.split(entities.unescape(attributes.get("id", "")).strip()))))
+                here.suspect = Suspect(here.suspect, doubt == "alone", "id" in attributes and thread)
                 self.suspects.append(here.suspect)
             if tag in HEADINGS and here.suspect is not None:
                 here.suspect.headings += 1
@@ -201,7 +212,8 @@ class Page:
     def _doubt(tag: str, attributes: dict[str, str], parent: Node) -> str | None:
         """What class, role and id say against an element: "sure", "alone" (enough without a heading), "dense" (only with links or forms) or nothing.
 
-        An id counts only where all its words are of the lists, since most ids are slugs of headings.
+        An id counts only where all its words are of the lists, since most ids are slugs of headings; one that names readers' texts also with units of
+        one shape in its element.
         """
         if tag in ("article", "main", "body", "html") or tag in HEADINGS:
             return None

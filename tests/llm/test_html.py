@@ -60,3 +60,32 @@ def test_ids_of_headings_and_formulas_stay_and_marked_link_lists_go():
             "On the text of the law.", "Let x=1 hold."]
     assert html.main_text(SLUGS, None).split("\n") == want
     assert html.main_text(SLUGS.replace("article>", "div>"), None).split("\n") == want
+
+
+READERS = """<p>Reader remark one.</p><p>Reader remark two.</p>"""
+BLOG = """<html><body><main><article><h1>Title</h1><p>The first paragraph of the article, long enough to win.</p><p>And the second one, which says more about it.</p>%s</article>%s</main></body></html>"""
+KEPT = ["Title", "The first paragraph of the article, long enough to win.", "And the second one, which says more about it."]
+UNIT = """<li class="comment"><article class="comment-body"><b class="fn">Ann</b><p>Well said, I would add that this and that is so.</p></article></li>"""
+
+
+def test_readers_comments_go_inside_and_outside_of_the_article():
+    marked = [f'<section class="comments">{READERS}</section>', f'<div id="comments" class="comments-area"><h2>Remarks</h2><ol class="comment-list">{UNIT * 8}</ol></div>',
+              f'<div id="comments"><h2>2 remarks</h2><div class="c"><b>Ann</b><p>So it is.</p></div><div class="c"><b>Bob</b><p>I think not.</p></div></div>',
+              f'<ul class="replies"><li>Yes.</li></ul>', f'<div class="comment-thread">{READERS}</div>']
+    for section in marked:
+        for page in (BLOG % (section, ""), BLOG % ("", section)):
+            for source in (page, page.replace("main>", "div>")):
+                assert html.main_text(source, None).split("\n") == KEPT, source
+                votes = html.votes_of(source)
+                assert html.main_text(source, max(votes, key=lambda v: v[1])[0]).split("\n") == KEPT
+
+
+def test_an_id_alone_does_not_drop_a_section_of_the_article():
+    page = BLOG % ('<section id="comments"><h2>Comments</h2><p>In code they begin with a hash.</p></section><div id="code-comments"><p>More on them.</p></div>', "")
+    assert html.main_text(page, None).split("\n") == [*KEPT, "Comments", "In code they begin with a hash.", "More on them."]
+
+
+def test_stray_quotes_and_empty_comments_lose_no_text():
+    page = "<html><body><article><p title=5\">First text \"big\" and more.</p><!--><p>Second 'text'.</p><!---><p class='a>b' title=\"x>y\">Third.</p><p a\"b>Fourth \" one.</p><!-- gone --!><p>Fifth.</p></article></body></html>"
+    assert html.main_text(page, None).split("\n") == ['First text "big" and more.', "Second 'text'.", "Third.", 'Fourth " one.', "Fifth."]
+    assert html._ATTRIBUTE.findall(" title=5\" id='x'") == [("title", "", "", '5"'), ("id", "", "x", "")]
