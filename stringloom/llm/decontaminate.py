@@ -18,12 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import fresh_names, prepare
 from .words import Words, signed, window_hashes
 
 #: Share of an item's words that may be edited (none of fewer than five), and the fewest words an item needs to be searched at all.
 BUDGET = 0.2
 MIN_WORDS = 1
+#: Words that an item needs for a filter of a corpus to remove the documents that contain it.
+EVIDENCE = 8
 #: Items are searched in blocks of at most this many characters (one scan of the texts for each block); it only bounds a broadcast.
 BLOCK_CHARS = 4_000_000
 
@@ -194,12 +196,16 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
     return found
 
 
-def without_benchmark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item; rows without an id are judged on their own text too."""
-    spark = docs.sparkSession
-    named = docs.where(F.col(doc_id).isNotNull())
-    bad = benchmark_hits(named, items, doc_id, text).select(F.col("doc_id").alias("_bad_id")).distinct()
-    kept = named.join(bad, F.col(doc_id).cast("long") == F.col("_bad_id"), "left_anti")
-    loose = docs.where(F.col(doc_id).isNull())
-    flagged = benchmark_hits(loose.withColumn("_row", F.xxhash64(text)), items, "_row", text).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return kept.unionByName(loose.join(flagged, F.xxhash64(text) == F.col("_bad_id"), "left_anti"))
+def without_benchmark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without the documents that contain a benchmark item of at least ``least_words`` words; all columns pass whatever their names.
+
+    Ordinary texts hold short phrases by chance, so a filter passes EVIDENCE; ``benchmark_hits`` reports shorter items all the same. Rows without an id are judged on
+    their own text too. Null and empty texts stay, very long ones are searched whole, empty tables of documents or items drop nothing.
+    """
+    bad, row = fresh_names(docs, "bad_id", "row")
+    own, said = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    named, loose = docs.where(own.isNotNull()), docs.where(own.isNull())
+    found = benchmark_hits(named, items, doc_id, text, min_words=least_words).select(F.col("doc_id").alias(bad)).distinct()
+    kept = named.join(found, own.cast("long") == F.col(bad), "left_anti")
+    flagged = benchmark_hits(loose.withColumn(row, F.xxhash64(said)), items, row, text, min_words=least_words).select(F.col("doc_id").alias(bad)).distinct()
+    return kept.unionByName(loose.join(flagged, F.xxhash64(said) == F.col(bad), "left_anti"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .runtime import prepare, written
+from .runtime import fresh_names, prepare, written
 from .words import Words, mixed, sequence_hash, signed, window_hashes
 
 WIDTH = 5
@@ -249,12 +249,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, all columns kept.
+    """``docs`` with one document of each near-duplicate group, all columns kept whatever their names.
 
-    Rows that repeat both id and text count as one document; rows without an id stay.
+    Rows that repeat both id and text count as one document; rows without an id stay. Null and empty texts are near nothing, very long ones are
+    compared whole, an empty table gives no rows.
     """
-    dropped = (near_duplicates(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id")).distinct())
-    named = docs.where(F.col(doc_id).isNotNull())
-    left = named.join(dropped, F.col(doc_id).cast("long") == F.col("_dropped_id"), "left_anti")
-    once = left.withColumn("_text_hash", F.xxhash64(text)).dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")
-    return once.unionByName(docs.where(F.col(doc_id).isNull()))
+    gone, text_hash = fresh_names(docs, "dropped_id", "text_hash")
+    own = F.col(f"`{doc_id}`")
+    dropped = near_duplicates(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.where(own.isNotNull()).join(dropped, own.cast("long") == F.col(gone), "left_anti")
+    once = left.withColumn(text_hash, F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([doc_id, text_hash]).drop(text_hash)
+    return once.unionByName(docs.where(own.isNull()))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import fresh_names, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -54,23 +54,76 @@ SEEDS = 5
 FOLLOWED = 0.3
 
 _SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
+#: Pieces whose lengths are added up at once; positions of the places in a text are sums of block sums and of sums within a block.
+BLOCK = 128
+#: Code points of a piece that a text is cut into to reach its places.
+CHUNK = 1_024
+#: Characters that no text has a use for: around a match, and in place of those that a text holds all the same.
+_OPEN, _CLOSE, _OTHER = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, upto: Column, start: Column, add) -> Column:
+    """``add`` over the first ``upto`` values, beginning with ``start``."""
+    return F.aggregate(F.slice(values, F.lit(1), upto), start, add)
+
+
+def _block_starts(values: Column, start: Column, add) -> Column:
+    """``add`` over all values before each block of BLOCK values."""
+    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
+    return _let(F.transform(blocks, lambda b: F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), start, add)),
+                lambda sums: F.transform(F.sequence(F.lit(0), F.size(sums) - 1), lambda b: _running(sums, b, start, add)))
+
+
+def _before(values: Column, starts: Column, i: Column, add) -> Column:
+    """``add`` over the first ``i`` values, from the start of their block on."""
+    block = F.floor(i / BLOCK).cast("int")
+    return F.aggregate(F.slice(values, block * BLOCK + 1, i - block * BLOCK), F.get(starts, block), add)
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """Matches with their code-point ranges: what stands between the matches gives the starts."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.size(hits)),
-        F.struct(F.array().cast(_SPAN).alias("out"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, i: F.struct(
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(F.element_at(between, i))).alias("start"),
-                (acc["at"] + F.length(F.element_at(between, i)) + F.length(F.element_at(hits, i))).alias("end"),
-                F.element_at(hits, i).alias("value")))).alias("out"),
-            (acc["at"] + F.length(F.element_at(between, i)) + F.length(F.element_at(hits, i))).cast("bigint").alias("at")),
-        lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, walk).otherwise(F.array().cast(_SPAN))
+    """Matches with their code-point ranges, in time that grows with the text: one pass of the pattern sets marks around them, the pieces' lengths give places."""
+    plain = F.translate(text, _OPEN + _CLOSE, _OTHER + _OTHER)
+    pieces = F.split(F.regexp_replace(plain, F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}")), f"[{_OPEN}{_CLOSE}]", -1)
+    plus = lambda a, x: a + x
+
+    def spans(p: Column) -> Column:
+        return _let(F.transform(p, lambda x: F.length(x).cast("bigint")), lambda sizes: _let(
+            _block_starts(sizes, F.lit(0).cast("bigint"), plus), lambda starts: F.transform(
+                F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), lambda i: _let(_before(sizes, starts, i, plus), lambda at: F.struct(
+                    at.alias("start"), (at + F.get(sizes, i)).alias("end"), F.get(p, i).alias("value"))))))
+
+    return _let(pieces, lambda p: F.when(F.size(p) > 2, spans(p)).otherwise(F.array().cast(_SPAN)))
+
+
+def _later(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _outside(tokens: Column, base: Column) -> Column:
+    """Tokens that overlap no base span (by start). The last base span that starts before a token's end is found by halving; what ends latest up to it decides."""
+    def kept(ends: Column, starts: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.floor(F.log2(F.size(base).cast("double"))).cast("int") + 1)
+
+        def before(t: Column) -> Column:
+            """How many base spans start before the token's end."""
+            middle = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
+            open_ = lambda s: s["low"] < s["high"]
+            less = lambda s: F.get(base, middle(s))["start"] < t["end"]
+            return F.aggregate(
+                steps, F.struct(F.lit(0).alias("low"), F.size(base).alias("high")),
+                lambda s, _: F.struct(F.when(open_(s) & less(s), middle(s) + 1).otherwise(s["low"]).alias("low"),
+                                      F.when(open_(s) & ~less(s), middle(s)).otherwise(s["high"]).alias("high")),
+                lambda s: s["low"])
+        return F.filter(tokens, lambda t: _before(ends, starts, before(t), _later) <= t["start"])
+
+    least = F.lit(-1).cast("bigint")
+    apart = _let(F.transform(base, lambda b: b["end"]), lambda ends: _let(_block_starts(ends, least, _later), lambda starts: kept(ends, starts)))
+    return F.when(F.size(base) > 0, apart).otherwise(tokens)
 
 
 def _luhn(digits: Column) -> Column:
@@ -108,9 +161,24 @@ def _base(text: Column) -> Column:
     return F.array_sort(F.concat(*(of_kind(place, kind) for place, kind in enumerate(KINDS))))
 
 
-def _cue(text: Column, start: Column) -> Column:
+def _chunks(text: Column) -> Column:
+    """The text in pieces of CHUNK code points: a place is reached without counting from the start of the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _part(chunks: Column, begin: Column, end: Column) -> Column:
+    """The code points from ``begin`` up to ``end``."""
+    first, last = F.floor(begin / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    chunk = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+    offset = (begin - first * CHUNK + 1).cast("int")
+    inner = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(first >= last, F.substring(chunk(first), offset, F.greatest(end - begin, F.lit(0)).cast("int"))).otherwise(
+        F.concat(F.substring(chunk(first), offset, F.lit(CHUNK)), inner, F.substring(chunk(last), F.lit(1), (end - last * CHUNK).cast("int"))))
+
+
+def _cue(chunks: Column, start: Column) -> Column:
     """The word before a place with the marks after it, in lower case, and a blank where blanks follow; empty at the start of a line or text."""
-    before = F.substring(text, F.greatest(start - 128, F.lit(0)).cast("int") + 1, F.least(start, F.lit(128)).cast("int"))
+    before = _part(chunks, F.greatest(start - 128, F.lit(0)), start)
     unit = F.regexp_extract(before, rf"({_WORD}{{0,{_LONG}}}+{_MARK}{{0,{_LONG}}}+)[ \t]{{0,48}}+$", 1)
     return F.when(unit == "", "").otherwise(F.lower(F.concat(unit, F.when(before.rlike(r"[ \t]$"), " ").otherwise(""))))
 
@@ -139,13 +207,13 @@ def _instances(rows: DataFrame) -> DataFrame:
     """(doc_id, text_hash, base, tokens): base spans and identifier-shaped tokens outside them, both with the word before them."""
     text = F.col("text")
     found = rows.withColumn("base", _base(text))
-    tokens = F.filter(_found(text, _TOKEN), lambda t: (F.size(_suits(t["value"])) > 0)
-                      & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    tokens = F.when(text.rlike(_MAYBE), tokens).otherwise(F.array().cast(_SPAN))
-    with_cue = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"),
-                                                      _cue(text, t["start"]).alias("cue")))
-    base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["place"].alias("place"), b["end"].alias("end"),
-                                                  b["kind"].alias("kind"), b["value"].alias("value"), _cue(text, b["start"]).alias("cue")))
+    tokens = F.filter(_found(text, _TOKEN), lambda t: F.size(_suits(t["value"])) > 0)
+    tokens = F.when(text.rlike(_MAYBE), _let(tokens, lambda t: _let(F.col("base"), lambda b: _outside(t, b)))).otherwise(F.array().cast(_SPAN))
+    with_cue = _let(_chunks(text), lambda ch: F.transform(tokens, lambda t: F.struct(
+        t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), _cue(ch, t["start"]).alias("cue"))))
+    base = _let(_chunks(text), lambda ch: F.transform("base", lambda b: F.struct(
+        b["start"].alias("start"), b["place"].alias("place"), b["end"].alias("end"), b["kind"].alias("kind"), b["value"].alias("value"),
+        _cue(ch, b["start"]).alias("cue"))))
     return found.withColumn("tokens", with_cue).withColumn("base", base).drop("text")
 
 
@@ -212,22 +280,38 @@ def personal_data_digest(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets and ``n_chars`` (where there is one) counted anew; overlapping spans become one."""
+    """``docs`` with every span replaced by its kind in angle brackets and ``n_chars`` (where there is one) counted anew; overlapping spans become one.
+
+    Null and empty texts stay; very long ones are cut in time that grows with them. Repeated rows and rows without an id are handled like any other, an empty
+    table gives no rows, and all other columns pass unchanged whatever their names.
+    """
     got = personal_data(docs, doc_id, text)
-    spans = (got.select(F.col("doc_id").alias("_span_id"), F.col("text_hash").alias("_span_hash"), F.array_sort(F.concat("base", "extra")).alias("_spans"))
-             .where("size(_spans) > 0").dropDuplicates(["_span_id", "_span_hash"]))
-    source = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    both = docs.join(spans, F.col(doc_id).cast("long").eqNullSafe(F.col("_span_id")) & (F.xxhash64(source) == F.col("_span_hash")), "left")
-    part = lambda a, b: F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int"))
-    cut = F.aggregate(
-        "_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], part(acc["at"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-            .otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at")),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    both = both.withColumn(text, F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col(text)))
+    span_id, span_hash, spans_name = fresh_names(docs, "span_id", "span_hash", "spans")
+    spans = (got.select(F.col("doc_id").alias(span_id), F.col("text_hash").alias(span_hash), F.array_sort(F.concat("base", "extra")).alias(spans_name))
+             .where(F.size(spans_name) > 0).dropDuplicates([span_id, span_hash]))
+    own, whole = F.col(f"`{text}`"), F.col(f"`{text}`").cast("string")
+    source = F.coalesce(whole, F.lit(""))
+    both = docs.join(spans, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(span_id)) & (F.xxhash64(source) == F.col(span_hash)), "left")
+    both = both.withColumn(text, F.when(F.col(spans_name).isNotNull(), _cut(whole, F.col(spans_name))).otherwise(own))
     if n_chars in docs.columns:
         kind = dict(docs.dtypes)[n_chars]
-        both = both.withColumn(n_chars, F.when(F.col("_spans").isNotNull(), F.length(text).cast(kind)).otherwise(F.col(n_chars)))
-    return both.select(*docs.columns)
+        both = both.withColumn(n_chars, F.when(F.col(spans_name).isNotNull(), F.length(own).cast(kind)).otherwise(F.col(f"`{n_chars}`")))
+    return both.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _cut(text: Column, spans: Column) -> Column:
+    """The text with its sorted spans replaced. Each span's part is made on its own: a span that starts inside an earlier one has none, and the text behind a span
+    reaches from the latest end so far to the next span's start."""
+    def parts(s: Column, ends: Column, starts: Column, chunks: Column) -> Column:
+        reach = lambda i: _before(ends, starts, i, _later)
+        between = lambda a, b: _part(chunks, a, b)
+
+        def part(i: Column) -> Column:
+            return _let(reach(i), lambda done: F.when(F.get(s, i)["start"] >= done, F.concat(
+                between(done, F.get(s, i)["start"]), F.lit("<"), F.upper(F.get(s, i)["kind"]), F.lit(">"))).otherwise(""))
+        made = F.array_join(F.transform(F.sequence(F.lit(0), F.size(s) - 1), part), "")
+        return F.concat(made, between(reach(F.size(s)), F.length(text).cast("bigint")))
+
+    zero = F.lit(0).cast("bigint")
+    return _let(spans, lambda s: _let(F.transform(s, lambda x: x["end"]), lambda ends: _let(
+        _block_starts(ends, zero, _later), lambda starts: _let(_chunks(text), lambda ch: parts(s, ends, starts, ch)))))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.scratch import written
 
-__all__ = ["prepare", "table", "written", "string_column", "batch_rows"]
+__all__ = ["prepare", "table", "written", "string_column", "batch_rows", "fresh_names"]
 
 #: Python tasks hold one Arrow batch at a time; both limits only bound memory, never what is processed.
 BATCH_ROWS = 1_000
@@ -50,3 +50,14 @@ def string_column(column: pa.Array) -> list[str]:
 def batch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches that have rows."""
     return (b for b in batches if b.num_rows)
+
+
+def fresh_names(frame: DataFrame, *wanted: str) -> list[str]:
+    """Column names for temporary use that ``frame`` does not have."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in wanted:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -90,3 +90,33 @@ def test_glued_wording_and_shapes_of_each_kind(spark):
     assert marked == {100: [("phone", "0234-5550123")], 101: [("phone", "0234 555 0199"), ("email", "jane.doe@intranet")],
                       102: [("email", "jane(at)example.com"), ("phone", "0234 555 0199")], 103: [("email", "Jane.Doe [at] example [dot] com")], 104: [], 105: [], 106: []}
     assert all(got[i].count(":") == 10 for i, _ in seeds)
+
+
+def test_many_matches_in_one_text_take_time_in_proportion(spark):
+    import time
+    line = "user{0}@example.com from 10.0.{1}.{2} id 99{0:06d} at +1 (234) 555-{3:04d}; "
+    text = "".join(line.format(i, i % 256, i % 200, i % 10_000) for i in range(17_500))
+    assert len(text) > 1_000_000
+    docs = spark.createDataFrame([(1, text), (2, "a@b.c")], "doc_id long, text string")
+    begun = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.personal_data_digest(docs).collect()}
+    taken = time.perf_counter() - begun
+    assert got[1]["base_sha256"] == hashlib.sha256(brute(text).encode()).hexdigest()
+    assert got[1]["n_email"] == got[1]["n_ip"] == got[1]["n_phone"] == 17_500
+    assert taken < 60, taken
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}[1]
+    assert clean.count("<EMAIL>") == clean.count("<IP>") == clean.count("<PHONE>") == 17_500 and "@" not in clean
+
+
+def test_clashing_columns_and_overlapping_spans(spark):
+    docs = spark.createDataFrame([(1, "x 1.2.3.4@b.c y +1 234 567 8901.2.3.4 z", 5, 6, 7, 8)], "doc_id long, text string, _span_id long, _span_hash long, _spans long, span_id long")
+    got = pii.redacted(docs)
+    assert got.columns == docs.columns and got.first()[2:] == (5, 6, 7, 8)
+    assert got.first()["text"] == "x <EMAIL> y <PHONE> z"
+
+
+def test_characters_used_as_marks_stay_in_place(spark):
+    text = "﷐ a@b.c ﷑﷒ 1.2.3.4"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.personal_data_digest(docs).first()["spans"] == brute(text)
+    assert pii.redacted(docs).first()["text"] == "﷐ <EMAIL> ﷑﷒ <IP>"

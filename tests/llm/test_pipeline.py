@@ -51,3 +51,16 @@ def test_odd_rows_pass_every_stage(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, rows, sf).count() <= rows.count()
         assert stage(spark, rows.where("false"), sf).count() == 0
+
+
+def test_stages_with_columns_named_like_their_own_helpers(spark):
+    from stringloom.llm import minhash
+    base = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, base, "a", 5, 6), (2, base + " more", "b", 7, 8), (3, "yes it is so", "c", 9, 1), (None, None, "d", 2, 3)],
+                                 "doc_id long, text string, _text_hash string, _dropped_id long, _bad_id long")
+    once = minhash.one_of_each(docs)
+    assert once.columns == docs.columns and sorted(r["_text_hash"] for r in once.collect()) == ["a", "c", "d"]
+    items = spark.createDataFrame([(1, "yes"), (2, " ".join(f"word{i}" for i in range(5, 30)))], "item_id long, text string")
+    kept = decontaminate.without_benchmark(docs, items, least_words=decontaminate.EVIDENCE)
+    assert kept.columns == docs.columns and sorted(r["_text_hash"] for r in kept.collect()) == ["c", "d"]
+    assert {r["doc_id"] for r in decontaminate.benchmark_hits(docs, items).collect()} == {1, 2, 3}  # the short item is reported all the same
