@@ -23,8 +23,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a benchmark item that is long enough to be evidence."""
+    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"), least_words=decontaminate.EVIDENCE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
