@@ -303,8 +303,8 @@ def agglomerative_sizes_documents(spark, sf):
     """Clusters and rows, strings whose copies were torn apart, and merges that stand lower than one of their parts."""
     tv = vectors.term_vectors(strings(spark, sf))
     merges = ward_merges(tv.vectors)
-    named = merges.select("a", "round", "height").unionByName(merges.select(F.col("b").alias("a"), "round", "height"))
-    before = Window.partitionBy("a").orderBy("round")
+    named = merges.select("a", "round", "seq", "height").unionByName(merges.select(F.col("b").alias("a"), "round", "seq", "height"))
+    before = Window.partitionBy("a").orderBy("round", "seq")
     falls = named.withColumn("last", F.lag("height").over(before)).agg(F.coalesce(F.sum((F.col("height") < F.col("last")).cast("long")), F.lit(0)).alias("falls"))
     rows = vectors.spread_to_rows(tv, ward_labels(tv, 8))
     torn = rows.groupBy("vec").agg(F.countDistinct("label").alias("n")).agg(F.count_if(F.col("n") > 1).alias("torn"))
