@@ -91,10 +91,9 @@ def newest_file(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     root = scratch_path(spark, "drops")
     for status in ("O", "F", "P"):
-        (orders.where(F.col("o_orderstatus") == status).coalesce(1)
-         .write.options(header=True).csv(f"{root}/{status}"))
+        orders.where(F.col("o_orderstatus") == status).write.options(header=True).csv(f"{root}/{status}")
         time.sleep(0.05)
-    newest = delimited.newest_file(spark, f"{root}/*/*.csv")
+    newest = delimited.newest_folder(spark, f"{root}/*/*.csv")
     return delimited.read_delimited(spark, newest, "o_orderkey long, o_orderstatus string")
 
 

@@ -41,24 +41,20 @@ def term_vectors(strings: DataFrame) -> TermVectors:
     Strings with the same word counts have the same vector, so they are collapsed first (``vec`` is the
     smallest of their ids) and a group of copies of any size costs one vector.
     """
-    # one pass over the texts: a row's sorted words give its key and, where a word differs from the one before, its term counts
+    # a row's sorted words give its key; only the words of first copies are counted
     present = spread(strings.where(F.col("string").isNotNull()))
     ordered = present.select("id", F.sort_array(words(F.col("string"))).alias("w"))
-    begins = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
-    runs = ordered.withColumn("begins", F.when(F.size("w") > 0, begins).otherwise(F.array().cast("array<int>")))
-    entry = F.transform("begins", lambda p, k: F.struct(
-        F.get("w", p).alias("term"), (F.coalesce(F.get("begins", k + 1), F.size("w")) - p).cast("long").alias("tf")))
-    keyed = written(runs.select("id", F.sha2(F.array_join("w", " "), 256).alias("key"), entry.alias("entries")), "keys")
+    keyed = written(ordered.select("id", F.sha2(F.array_join("w", " "), 256).alias("key"), "w"), "keys")
     groups = written(keyed.groupBy("key").agg(F.min("id").alias("vec"), F.count(F.lit(1)).alias("copies")), "groups")
     rows = keyed.count()
     members = written(salted_join(keyed.select("id", "key"), groups, "key", "copies", rows, "id"), "members")
 
-    # only the first copy's counts go on
-    firsts = written(keyed.join(groups.select(F.col("vec").alias("id"), "copies"), "id").select(F.col("id").alias("vec"), "copies", "entries"), "counts")
-    entries, row_entries = firsts.agg(F.coalesce(F.sum(F.size("entries")), F.lit(0)), F.coalesce(F.sum(F.size("entries") * F.col("copies")), F.lit(0))).first()
+    firsts = keyed.select(F.col("id").alias("vec"), "w").join(groups.select("vec", "copies"), "vec")
+    counts = firsts.select("vec", "copies", F.explode("w").alias("term")).groupBy("vec", "copies", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = written(counts, "counts")
+    entries, row_entries = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     if entries == 0:
         raise NoWords("no string holds a word of two or more characters")
-    counts = firsts.select("vec", "copies", F.explode("entries").alias("e")).select("vec", "copies", "e.term", "e.tf")
     sizes = counts.groupBy("term").agg(F.sum("copies").alias("df"), F.count(F.lit(1)).alias("vectors_with"))
     terms = with_position(sizes, ["df", "term"], "rank").withColumn("idf", smoothed_idf(F.lit(float(rows)), F.col("df")))
 

@@ -135,3 +135,8 @@ def newest_file(spark: SparkSession, pattern: str) -> str:
         .agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
     )
     return listing.first()["path"]
+
+
+def newest_folder(spark: SparkSession, pattern: str) -> str:
+    """Folder of the most recently modified file matching ``pattern``: a drop of many part files; ties go to the greater path."""
+    return newest_file(spark, pattern).rsplit("/", 1)[0]
