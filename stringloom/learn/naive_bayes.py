@@ -2,85 +2,87 @@
 
 from __future__ import annotations
 
-import json
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..plans.ranking import with_position
 from ..plans.scratch import written
 from ..plans.skew import lookup_join
 from ..plans.spread import spread
 
-MAX_CLASSES = 10_000
-
-
-class TooManyClasses(ValueError):
-    """The class list would not fit the bounded literal it is shipped as."""
+#: Classes that one row meets at once. It bounds the arrays of a task, not the number of classes.
+BLOCK = 1_000
 
 
 @dataclass(frozen=True)
 class WordModel:
     terms: DataFrame      # term, entries array<struct<at, x>>: log(count + 1) for classes that saw the term
-    classes: list[dict]   # label, prior (log share of rows), base (log of words + vocabulary), in label order
-
-    @property
-    def labels(self) -> list[str]:
-        return [c["label"] for c in self.classes]
+    classes: DataFrame    # at (place in label order), label, prior (log share of rows), base (log of words + vocabulary)
 
     def save(self, path: str) -> None:
         self.terms.write.parquet(f"{path}/terms")
-        self.terms.sparkSession.createDataFrame(self.classes, "label string, prior double, base double").write.parquet(f"{path}/classes")
+        self.classes.write.parquet(f"{path}/classes")
 
 
 def load_word_model(spark: SparkSession, path: str) -> WordModel:
-    rows = spark.read.parquet(f"{path}/classes").orderBy("label").limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise TooManyClasses(f"more than {MAX_CLASSES} classes")
-    return WordModel(spark.read.parquet(f"{path}/terms"), [r.asDict() for r in rows])
+    return WordModel(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/classes"))
 
 
 def fit_word_model(rows: DataFrame, label: str, text: str = "string") -> WordModel:
-    """Add-one smoothed counts of (label, term); rows without a label are left out."""
+    """Add-one smoothed counts of (label, term); rows without a label are left out. Any number of classes: they are rows of a table."""
     known = spread(rows.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text")))
-    sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").limit(MAX_CLASSES + 1).collect()
-    if len(sizes) > MAX_CLASSES:
-        raise TooManyClasses(f"more than {MAX_CLASSES} classes")
+    sizes = with_position(known.groupBy("label").agg(F.count(F.lit(1)).alias("n")), ["label"], "at")
     counts = written(known.select("label", F.explode(words(F.col("text"))).alias("term")).groupBy("label", "term").agg(F.count(F.lit(1)).alias("c")), "class_counts")
     vocabulary = counts.select("term").distinct().count()
-    # one row per class
-    spoken = {r["label"]: r["c"] for r in counts.groupBy("label").agg(F.sum("c").alias("c")).collect()}
-    total = sum(r["n"] for r in sizes)
-    classes = [{"label": r["label"], "prior": math.log(r["n"] / total), "base": math.log(spoken.get(r["label"], 0) + vocabulary)} for r in sizes]
-    places = F.from_json(F.lit(json.dumps({c["label"]: at for at, c in enumerate(classes)})), "map<string,int>")
-    entry = F.struct(F.element_at(places, F.col("label")).alias("at"), F.log(F.col("c") + 1.0).alias("x"))
-    terms = counts.groupBy("term").agg(F.collect_list(entry).alias("entries"))  # at most one entry per class
+    spoken = counts.groupBy("label").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("pairs"))
+    sized = written(sizes.join(spoken, "label", "left"), "class_sizes")
+    total, pairs = sized.agg(F.sum("n"), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+    classes = written(sized.select("at", "label", F.log(F.col("n") / F.lit(total or 1)).alias("prior"),
+                                   F.log(F.coalesce("c", F.lit(0)) + F.lit(float(vocabulary))).alias("base")), "classes")
+    placed = lookup_join(counts, classes.select("label", "at"), "label", pairs, "term", "inner")
+    entry = F.struct(F.col("at").cast("int").alias("at"), F.log(F.col("c") + 1.0).alias("x"))
+    terms = placed.groupBy("term").agg(F.collect_list(entry).alias("entries"))  # at most one entry per class
     return WordModel(written(terms, "word_model"), classes)
 
 
-def _softmax(scores: Column) -> Column:
-    top = F.array_max(F.transform(scores, lambda s: s["score"]))
-    raised = F.transform(scores, lambda s: F.struct(s["label"].alias("label"), F.exp(s["score"] - top).alias("e")))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, s: a + s["e"])
-    return F.transform(raised, lambda s: F.struct(s["label"].alias("label"), (s["e"] / total).alias("prob")))
+def _summed_up(parts: Column, top: int | None) -> Column:
+    """Probabilities from a row's blocks (block, high, total, kept): all classes in label order, or the ``top`` most probable ones."""
+    high = F.array_max(F.transform(parts, lambda p: p["high"]))
+    total = F.aggregate(parts, F.lit(0.0), lambda a, p: a + p["total"] * F.exp(p["high"] - high))
+    kept = F.flatten(F.transform(F.array_sort(parts), lambda p: p["kept"]))
+    if top is not None:
+        kept = F.slice(F.array_sort(kept), 1, top)
+    return F.transform(kept, lambda s: F.struct(s["label"].alias("label"), (F.exp(-s["down"] - high) / total).alias("prob")))
 
 
-def score_words(model: WordModel, rows: DataFrame, key: str = "id", text: str = "string") -> DataFrame:
-    """``rows`` with ``classes`` array<struct<label, prob>> in label order; words the model never saw are ignored.
+def score_words(model: WordModel, rows: DataFrame, key: str = "id", text: str = "string", top: int | None = None) -> DataFrame:
+    """``rows`` with ``classes`` array<struct<label, prob>> in label order; words the model never saw are ignored. A row without a key
+    counts as one without words.
 
-    log(0 + 1) is zero, so only terms a class has seen add to its sum and the join stays sparse.
+    With ``top`` only that many most probable classes, most probable first; their probabilities are still shares of all classes. log(0 + 1) is zero, so
+    only terms a class has seen add to its sum and the join stays sparse. A row meets the classes in blocks; a block gives its highest score, the sum
+    of its classes' shares and, with ``top``, no more classes than that.
     """
     tf = written(spread(rows.select(F.col(key).alias("_id"), F.col(text).alias("_text"))).select("_id", F.explode(words(F.col("_text"))).alias("term")).groupBy("_id", "term").agg(F.count(F.lit(1)).alias("tf")), "scored_words")
     hits = lookup_join(tf, model.terms, "term", tf.count(), "_id", "inner")
     length = hits.groupBy("_id").agg(F.sum("tf").alias("length"))
+    block = F.floor(F.col("at") / BLOCK).cast("int")
     sums = hits.select("_id", "tf", F.explode("entries").alias("e")).groupBy("_id", F.col("e.at").alias("at")).agg(F.sum(F.col("tf") * F.col("e.x")).alias("x"))
-    per_row = length.join(sums.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("sums")), "_id")
-    listed = F.from_json(F.lit(json.dumps(model.classes)), "array<struct<label:string,prior:double,base:double>>")
+    sums = sums.groupBy("_id", block.alias("block")).agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("sums"))
+    listed = written(model.classes.groupBy(block.alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), "label", "prior", "base"))).alias("listed")), "class_blocks")
+    blocks = listed.count()
+    ids = rows.select(F.col(key).alias("_id")).distinct().join(length, "_id", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))))
+    met = ids.join(listed, "block").join(sums, ["_id", "block"], "left")
     seen = F.coalesce(F.col("length"), F.lit(0))
-    scores = F.transform(listed, lambda c, at: F.struct(
-        c["label"].alias("label"),
-        (c["prior"] - seen * c["base"] + F.coalesce(F.try_element_at("sums", at), F.lit(0.0))).alias("score")))
-    out = rows.join(per_row, F.col(key) == F.col("_id"), "left").withColumn("_scores", scores)
-    return out.withColumn("classes", _softmax(F.col("_scores"))).drop("_id", "length", "sums", "_scores")
+    score = lambda c: c["prior"] - seen * c["base"] + F.coalesce(F.try_element_at("sums", c["at"]), F.lit(0.0))
+    met = met.select("_id", "block", F.transform("listed", lambda c: F.struct((-score(c)).alias("down"), c["at"].alias("at"), c["label"].alias("label"))).alias("scores"))
+    met = met.withColumn("high", F.array_max(F.transform("scores", lambda s: -s["down"])))
+    kept = F.col("scores") if top is None else F.slice(F.array_sort("scores"), 1, top)
+    part = F.struct("block", "high", F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.exp(-s["down"] - F.col("high"))).alias("total"), kept.alias("kept"))
+    per_row = met.groupBy("_id").agg(F.collect_list(part).alias("_parts"))
+    out = rows.join(per_row, F.col(key).eqNullSafe(F.col("_id")), "left")
+    return out.withColumn("classes", _summed_up(F.col("_parts"), top)).drop("_id", "_parts")

@@ -68,3 +68,27 @@ def test_batch_stops_at_the_failing_stage(spark):
     with pytest.raises(batch.StageFailed, match="score Ingredient"):
         batch.run_batch(records, listed, {"Ingredient": broken, "Trademark": second}, "s", scratch_path(spark, "batch"))
     assert started == ["first"]
+
+
+def test_twenty_thousand_classes_are_fitted_saved_loaded_and_scored(spark, monkeypatch):
+    many = spark.range(20_000).selectExpr("id", "concat('own', id, ' shared', id % 7) as string", "concat('class', id) as label")
+    path = scratch_path(spark, "many")
+    naive_bayes.fit_word_model(many, "label").save(path)
+    model = naive_bayes.load_word_model(spark, path)
+    asked = spark.createDataFrame([(1, "own77 shared0"), (2, "own19999"), (3, "nothing known"), (None, "own5")], "id long, string string")
+    got = {r["id"]: r["classes"] for r in naive_bayes.score_words(model, asked, top=3).collect()}
+    assert got[1][0]["label"] == "class77" and got[2][0]["label"] == "class19999"
+    assert all(len(c) == 3 for c in got.values()) and got[1][0]["prob"] > got[1][1]["prob"] >= got[1][2]["prob"] > 0
+    assert all(abs(got[k][0]["prob"] - 1 / 20_000) < 1e-9 for k in (3, None))  # no known word, and a row without a key
+
+
+def test_class_blocks_change_nothing(spark, monkeypatch):
+    model = naive_bayes.fit_word_model(rows_of(spark), "label")
+    asked = spark.createDataFrame([(1, "red ring of tin"), (2, "steel"), (3, "")], "id long, string string")
+    whole = sorted(naive_bayes.score_words(model, asked).collect())
+    monkeypatch.setattr(naive_bayes, "BLOCK", 2)
+    cut = sorted(naive_bayes.score_words(model, asked).collect())
+    assert [[c["label"] for c in r["classes"]] for r in cut] == [["bolt", "cup", "ring"]] * 3
+    assert all(abs(a["prob"] - b["prob"]) < 1e-12 for x, y in zip(whole, cut) for a, b in zip(x["classes"], y["classes"]))
+    best = naive_bayes.score_words(model, asked, top=1).collect()
+    assert {r["id"]: r["classes"][0]["label"] for r in best}[2] == "bolt"
