@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null
 from ..operators.clean import MissingColumns
+from ..plans.scratch import written
 
 BOM = "﻿"
 
@@ -29,22 +30,51 @@ def _require_files(spark: SparkSession, paths: list[str]) -> None:
             raise NoInputFiles(f"no files at {path}")
 
 
+def _first_lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    """(path, line): the first line of every file that has one, read by the executors; nothing but its beginning is read.
+
+    Paths of Spark's listing are opened through pyarrow's file systems, so a compressed file is opened by its suffix too.
+    """
+    def read(batches):
+        import io
+        from urllib.parse import quote
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            names, lines = [], []
+            for path in batch.column(0).to_pylist():
+                scheme, _, rest = path.partition(":")
+                if scheme == "file":
+                    files, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+                else:
+                    files, name = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}:{quote(rest)}")
+                with files.open_input_stream(name) as stream, io.TextIOWrapper(io.BufferedReader(stream), encoding=encoding) as text:
+                    line = text.readline()
+                if line:
+                    names.append(path)
+                    lines.append(line.rstrip("\r\n"))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(lines, pa.string())], names=["path", "line"])
+
+    return spark.read.format("binaryFile").load(paths).select("path").mapInArrow(read, "path string, line string")
+
+
 def _files_by_header(spark: SparkSession, paths: list[str], sep: str, encoding: str) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by the column names of their first line; empty files have none and are left out.
+    """What to scan under each different first line; empty files have none.
 
-    Only the file list and one line of each file reach the driver. A name left blank becomes ``_c`` and its position.
+    Executors read the lines and only the different ones come back. With a single one the given paths stand as they are. With several, the files of each are
+    named, as the planner's own listing of a scan names them. A name left blank becomes ``_c`` and its position.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    listing = spark.read.format("binaryFile").load(paths).select("path").orderBy("path").toLocalIterator()
+    lines = written(_first_lines(spark, paths, encoding), "headers")
     groups: dict[tuple[str, ...], list[str]] = {}
-    for row in listing:
-        path = jvm.org.apache.hadoop.fs.Path(row["path"])
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(path.getFileSystem(conf).open(path), encoding))
-        line = reader.readLine()
-        reader.close()
-        if line is not None:
-            names = next(csv.reader([line.removeprefix(BOM)], delimiter=sep), [])
-            groups.setdefault(tuple(n or f"_c{i}" for i, n in enumerate(names)), []).append(row["path"])
+    different = [r["line"] for r in lines.select("line").distinct().orderBy("line").collect()]
+    for line in different:
+        names = next(csv.reader([line.removeprefix(BOM)], delimiter=sep), [])
+        files = paths
+        if len(different) > 1:
+            files = [_as_pattern(r["path"]) for r in lines.where(F.col("line") == line).select("path").orderBy("path").collect()]
+        groups.setdefault(tuple(n or f"_c{i}" for i, n in enumerate(names)), []).extend(files)
     return groups
 
 
@@ -71,7 +101,7 @@ def read_delimited(spark: SparkSession, path: str | list[str], schema: T.StructT
         part = (
             spark.read.schema(_file_schema(header, wanted, files))
             .options(header=True, sep=sep, encoding=encoding, escape='"', enforceSchema=True)
-            .csv([_as_pattern(f) for f in files])
+            .csv(files)
         )
         rows = rows.unionByName(part.select(*(F.col(f"`{f.name}`") for f in wanted.fields)))
     return blank_to_null(rows) if na_step else rows
@@ -101,11 +131,11 @@ def split_tolerant(spark: SparkSession, path: str | list[str], schema: T.StructT
     for header, files in _files_by_header(spark, paths, sep, encoding).items():
         own = _file_schema(header, schema, files)
         lines = (
-            # no quote and a separator that text does not hold: every line but the first of each file, as it stands
-            spark.read.schema("value string")
-            .options(header=True, sep="\x01", quote="", escape="", encoding=encoding, enforceSchema=True)
-            .csv([_as_pattern(f) for f in files])
-            .select("value", F.col("_metadata.file_path").alias("file"))
+            # every line but the first of each file, as it stands: no quote, and a line that holds the separator is kept whole as malformed
+            spark.read.schema("value string, whole string")
+            .options(header=True, sep="\x01", quote="", escape="", encoding=encoding, enforceSchema=True, columnNameOfCorruptRecord="whole")
+            .csv(files)
+            .select(F.coalesce("whole", "value").alias("value"), F.col("_metadata.file_path").alias("file"))
             .where(F.length("value") > 0)
             .withColumn("fields", _field_count(F.col("value"), sep))
         )

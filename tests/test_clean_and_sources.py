@@ -172,6 +172,28 @@ def test_tolerant_reader_takes_each_files_own_header(spark):
     assert sorted((r["value"], r["fields"]) for r in rejected.collect()) == [("2,b,c", 3), ("p,q,4,r", 4)]
 
 
+def test_lines_with_control_characters_stay_whole(spark):
+    path = saved(spark, ["id,string", "1,a\x01b\x01c", "2,d", "3,\x01,x"])
+    rows, rejected = delimited.split_tolerant(spark, path, ID_STRING)
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", "a\x01b\x01c"), ("2", "d")]
+    assert [(r["value"], r["fields"]) for r in rejected.collect()] == [("3,\x01,x", 3)]
+
+
+def test_headers_of_many_files_are_read_by_tasks(spark):
+    import gzip
+    import os
+    path = scratch_path(spark, "many [1]")
+    os.makedirs(path)
+    for i in range(3_000):
+        with open(f"{path}/{i}.csv", "w") as out:
+            out.write("" if i % 100 == 0 else f"id,string\r\n{i},a\r\n" if i % 2 else f"string,id\nb,{i}\n")
+    with gzip.open(f"{path}/z.csv.gz", "wt") as out:
+        out.write("id,string\n-1,z\n")
+    rows = delimited.read_delimited(spark, path.replace("[", "\\[").replace("]", "\\]"), "id long, string string")
+    got = dict(tuple(r) for r in rows.collect())
+    assert got == {**{i: "a" if i % 2 else "b" for i in range(3_000) if i % 100}, -1: "z"}
+
+
 def test_exclusion_counts_follow_the_exclusion(spark):
     rows = spark.createDataFrame([("a",), ("b",), (None,)], "Owner string")
     listed = spark.createDataFrame([("x", "a"), ("y", None)], "Code string, Company string")
