@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,50 @@ def test_scores_do_not_depend_on_held_out_labels(tables, operator):
     assert score(labels) == score(turned)
 
 
+def sentences(n, seed=5):
+    rng = np.random.default_rng(seed)
+    names = np.array("river stone bread lamp winter garden copper thread sailor museum".split())
+    return [" ".join(rng.choice(names, rng.integers(3, 30))) + "." for _ in range(n)]
+
+
+def test_quality_terms_see_words():
+    shifted = str.maketrans("abcdefghijklmnopqrstuvwxyz", "bcdefghijklmnopqrstuvwxyza")
+    text = sentences(1)[0]
+    one, other = (neighbours.term_matrix(pa.array([x])) for x in (text, text.translate(shifted)))
+    assert not set(one.columns[one.columns >= neighbours.MANNER]) & set(other.columns[other.columns >= neighbours.MANNER])
+
+
+def test_latent_space_and_votes_equal_brute_force():
+    texts = sentences(60) + ["", None, "zzz"]
+    terms = neighbours.term_matrix(pa.array(texts))
+    assert len(neighbours.term_matrix(pa.array([], pa.string()))) == 0
+    back = neighbours.unpacked_terms(*(x.to_pylist() for x in neighbours.packed_terms(terms)))
+    assert all(np.array_equal(getattr(back, c), getattr(terms, c)) for c in ("first", "columns", "values"))
+    labels = np.arange(len(texts)) % 2
+    voters = neighbours.fit_voters(terms, labels, dimensions=6)
+    dense = np.zeros((len(texts), neighbours.TERMS))
+    weighed = terms.weighed(voters.weight)
+    dense[weighed.rows(), weighed.columns] = weighed.values
+    _, exact, _ = np.linalg.svd(dense, full_matrices=False)
+    assert np.allclose(np.linalg.norm(dense @ voters.space, axis=0)[:4], exact[:4], rtol=0.02)
+    place = dense @ voters.space
+    place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-30)
+    for r, score in enumerate(voters.scores(terms, neighbours=5)):
+        cosines = place[r] @ place.T
+        near = sorted(range(len(texts)), key=lambda i: (-round(cosines[i], 5), i))[:5]
+        weight = np.maximum(cosines[near], 0)
+        want = (weight * labels[near]).sum() / weight.sum() if weight.sum() > 0 else labels.mean()
+        assert abs(score - want) < 1e-3 or np.isclose(np.sort(cosines)[-5], np.sort(cosines)[-6], atol=1e-4)
+
+
+def test_ties_go_to_earlier_labelled_rows():
+    space = np.zeros((neighbours.TERMS, 1), np.float32)
+    space[:, 0] = 1
+    voters = neighbours.Voters(np.ones(neighbours.TERMS, np.float32), space, np.ones((4, 1), np.float32), np.array([1.0, 1.0, 0.0, 0.0]), 0.5)
+    terms = neighbours.term_matrix(pa.array(["one two", "", "many words here"]))
+    assert voters.scores(terms, neighbours=2).tolist()[::2] == [1.0, 1.0] and np.allclose(voters.scores(terms, neighbours=4)[::2], 0.5)
+
+
 def test_languages_out_of_fold(tables):
     docs, _ = tables
     got = languages.languages(docs).collect()
