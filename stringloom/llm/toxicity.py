@@ -13,21 +13,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import normal_words
 from .grams import fold_of
 from .rules import labelled_sample
-from .runtime import prepare
+from .runtime import prepare, written
 from .words import Words, _span_hashes, mixed, window_hashes
 
 #: Bytes of the word beginnings that are features, and the size of the weight table.
 PREFIXES = (3, 4, 5, 6)
 BUCKETS = 1 << 17
-#: At most about so many labelled documents, half of them toxic, with at most so many characters each are fitted on (longer ones are scored, not learnt).
+#: At most about so many labelled documents, half of them toxic, are fitted on. They are taken whole, in the order of a hash of their ids and whatever their
+#: lengths, as long as those before them hold less than so many characters together: what reaches the driver is bounded.
 DOCUMENTS = 2_400
-MOST_CHARS = 8_000
+CHARACTERS = 24_000_000
+#: Words of a passage. The fit cuts documents into passages, all of which it uses; scores come from unbroken chains.
+PASSAGE = 512
 #: A marker's share of toxic documents among those that have it, and the share of toxic documents it must stand in at least.
 PRECISION = 0.97
 SUPPORT = 0.01
@@ -61,10 +64,14 @@ def dissimilar(words: Words, hashes: np.ndarray, width: int = 5, smallest: int =
 
 def markers(features: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Hashes of the features of toxic documents: precise, and in so many that not one feature is expected there by chance."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    pairs = np.unique(np.stack([features.ravel(), np.repeat(row, features.shape[1]).astype(np.uint64)], axis=1), axis=0)
-    names, begin, count = np.unique(pairs[:, 0], return_index=True, return_counts=True)
-    bad = np.add.reduceat(toxic[pairs[:, 1].astype(np.int64)].astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+    row = np.repeat(np.repeat(np.arange(len(first) - 1), np.diff(first)), features.shape[1])
+    name = features.ravel()
+    order = np.lexsort((row, name))
+    name, row = name[order], row[order]
+    once = np.ones(len(name), dtype=bool)
+    once[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
+    names, begin, count = np.unique(name[once], return_index=True, return_counts=True)
+    bad = np.add.reduceat(toxic[row[once]].astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
     chance = np.log(max(len(names), 2)) / -np.log(np.clip(toxic.mean(), 0.01, 0.9))
     return names[(bad >= max(chance, SUPPORT * toxic.sum())) & (bad >= PRECISION * count)]
 
@@ -142,11 +149,18 @@ def calibrated(evidence: np.ndarray, toxic: np.ndarray, rounds: int = 25, ridge:
     return b
 
 
+def passages(first: np.ndarray, width: int = PASSAGE) -> np.ndarray:
+    """Borders of the passages of at most ``width`` words that rows with the borders ``first`` are cut into."""
+    cuts = [np.arange(a, b, width) for a, b in zip(first[:-1], first[1:])]
+    return np.concatenate([*cuts, first[-1:]])
+
+
 def fit_field(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> Field:
-    """Field fitted on labelled texts. Without both labels every score is one half."""
+    """Field fitted on labelled texts. Where all labels are equal they are the scores; without labels or words nothing is toxic."""
     words = normal_words(pa.array(texts, pa.string()))
     if not len(words) or len(np.unique(toxic)) < 2:
-        return Field(np.zeros(BUCKETS), 0.0, np.ones((2, 2)), np.zeros(3))
+        sure = 30.0 if len(toxic) and toxic.all() else -30.0
+        return Field(np.zeros(BUCKETS), 0.0, np.ones((2, 2)), np.array([sure, 0.0, 0.0]))
     keep = dissimilar(words, words.hashes())
     texts, toxic = [t for t, k in zip(texts, keep) if k], toxic[keep]
     words = normal_words(pa.array(texts, pa.string()))
@@ -154,10 +168,10 @@ def fit_field(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> Field:
     row = np.repeat(np.arange(words.rows), words.counts())
     labels = np.isin(features, markers(features, words.first, toxic)).any(axis=1) & (toxic[row] == 1)
     buckets = buckets_of(features)
-    first = words.first
+    first = passages(words.first)
     y = labels.astype(np.float64)
     inner = np.ones(len(y), dtype=bool)
-    inner[first[:-1][words.counts() > 0]] = False  # tokens with one before them in their row
+    inner[first[:-1]] = False  # tokens with one before them in their passage
     later = np.flatnonzero(inner)
     from_, to = y[later - 1], y[later]
     seen = np.array([[((1 - from_) * (1 - to)).sum(), ((1 - from_) * to).sum()], [(from_ * (1 - to)).sum(), (from_ * to).sum()]])
@@ -181,15 +195,20 @@ def fit_field(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> Field:
             moved.append(0.7 * s / np.sqrt(memory[k]))
         weights, bias, log_moves = weights + moved[0], bias + moved[1], log_moves + moved[2]
     field = Field(weights.astype(np.float32), float(bias), np.exp(log_moves), np.zeros(3))
-    marginal, _, _ = chain(field.emission(buckets), first, field.moves)
-    field.calibration = calibrated(field.evidence(marginal, first), toxic.astype(np.float64))
+    marginal, _, _ = chain(field.emission(buckets), words.first, field.moves)
+    field.calibration = calibrated(field.evidence(marginal, words.first), toxic.astype(np.float64))
     return field
 
 
-def fitted_field(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = DOCUMENTS, most_chars: int = MOST_CHARS, folds: int = 5, held_out: int = 0) -> Field:
-    """Field from at most about ``bound`` labelled documents outside the held-out fold; their bounded texts reach the driver."""
-    sample = labelled_sample(docs, labels, label, bound, fold_of("doc_id", folds) != held_out)
-    rows = sample.where(F.length("text") <= most_chars).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+def fitted_field(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = DOCUMENTS, characters: int = CHARACTERS, folds: int = 5,
+                 held_out: int = 0) -> Field:
+    """Field from at most about ``bound`` labelled documents outside the held-out fold, whole texts of about ``characters`` together; only these reach the driver."""
+    sample = labelled_sample(docs, labels, label, bound, fold_of("doc_id", folds) != held_out).dropDuplicates(["doc_id"])
+    sample = written(sample.select("doc_id", "text", "label", F.length("text").alias("size")), "labelled")
+    before = F.coalesce(F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # at most 2 * bound rows of an id and a length meet in this window
+    taken = sample.select("doc_id", "size").withColumn("before", before).where(F.col("before") < characters).select("doc_id")
+    rows = sample.join(F.broadcast(taken), "doc_id", "left_semi").orderBy("doc_id").collect()
     return fit_field([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=int))
 
 
@@ -197,7 +216,8 @@ def toxic_spans(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
                 held_out: int = 0) -> DataFrame:
     """(doc_id, score, spans) for every row of ``docs``, from its whole text; spans are (start, end, marginal) of tokens that are toxic rather than not.
 
-    Starts and ends are code points of the lower-cased text. Null and empty texts have no spans and the score of a text without evidence. Repeated rows give
+    Starts and ends are code points of the lower-cased text. Null and empty texts have no spans and the score of a text without evidence. Very long texts are
+    fitted and tagged whole; a document that must be chosen among equals is chosen by a hash of its id. Repeated rows give
     repeated results; null labels and other values than 0 and 1 are ignored. Other columns are ignored whatever their names. An empty table gives no rows.
     """
     prepare(docs.sparkSession)

@@ -152,6 +152,27 @@ def test_chain_equals_enumeration():
         assert np.allclose(got[a:b], on / total if b > a else on)
 
 
+def test_long_toxic_documents_are_learnt(spark):
+    rng = np.random.default_rng(3)
+    calm = lambda n: " ".join(rng.choice(["tea", "road", "cloud", "paper", "green", "walk"], n))
+    rows = [(i, calm(60) if i % 2 else f"{calm(2_500)} vile {calm(2_500)} vile"[: 40_000] if i % 10 else f"{calm(20)} vile brute") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, toxic int")
+    assert min(len(t) for i, t in rows if i % 2 == 0 and i % 10) > 20_000
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert np.mean([got[i] == 1 - i % 2 for i in got]) >= 0.97
+    one_sided = toxicity.toxicity_scores(docs, labels.where("toxic = 0"))
+    assert {r["predicted"] for r in one_sided.collect()} == {0}
+    bounded = toxicity.fitted_field(docs, labels, characters=1)
+    assert len(set(bounded.scores(np.zeros(0), np.zeros(3, dtype=int)))) == 1
+
+
+def test_passages_cover_all_words():
+    first = np.array([0, 0, 3, 1_600, 1_600, 2_112])
+    cuts = toxicity.passages(first)
+    assert set(first) <= set(cuts.tolist()) and (np.diff(cuts) > 0).all() and np.diff(cuts).max() <= toxicity.PASSAGE
+
+
 def test_spans_mark_toxic_words(tables):
     docs, labels = tables
     found = Counter()
