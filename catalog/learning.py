@@ -172,8 +172,7 @@ def weighted_ensemble(spark, sf):
     by_name = naive_bayes.score_words(naive_bayes.fit_word_model(rows, "p_type"), rows).withColumnRenamed("classes", "by_name")
     model = naive_bayes.fit_word_model(rows, "p_type", "p_brand")
     both = naive_bayes.score_words(model, by_name, text="p_brand")
-    probs = [F.transform(c, lambda e: e["prob"]) for c in ("by_name", "classes")]
-    mixed = candidates.class_array(candidates.weighted_average(probs, [3.0, 1.0]), model.labels)
+    mixed = candidates.mixed_classes([F.col("by_name"), F.col("classes")], [3.0, 1.0])
     return both.select("id", F.explode(mixed).alias("c")).select("id", "c.label", F.round("c.prob", 6).alias("prob"))
 
 

@@ -61,6 +61,12 @@ def weighted_average(arrays: Sequence[Column], weights: Sequence[float]) -> Colu
     return reduce(lambda x, y: F.zip_with(x, y, lambda p, q: p + q), scaled)
 
 
+def mixed_classes(arrays: Sequence[Column], weights: Sequence[float]) -> Column:
+    """One array<struct<label, prob>> from several that list the same labels in the same order."""
+    mean = weighted_average([F.transform(a, lambda e: e["prob"]) for a in arrays], weights)
+    return F.zip_with(arrays[0], mean, lambda e, p: F.struct(e["label"].alias("label"), p.alias("prob")))
+
+
 @dataclass
 class TrainedModels:
     labels: list[str]

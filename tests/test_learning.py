@@ -92,3 +92,15 @@ def test_class_blocks_change_nothing(spark, monkeypatch):
     assert all(abs(a["prob"] - b["prob"]) < 1e-12 for x, y in zip(whole, cut) for a, b in zip(x["classes"], y["classes"]))
     best = naive_bayes.score_words(model, asked, top=1).collect()
     assert {r["id"]: r["classes"][0]["label"] for r in best}[2] == "bolt"
+
+
+def test_word_models_of_two_columns_are_mixed_class_by_class(spark):
+    rows = spark.createDataFrame([(1, "red ring", "aa", "x"), (2, "blue bolt", "bb", "y"), (3, "tin cup", "aa", "x"), (4, None, "bb", None), (5, "red", None, "z")],
+                                 "id long, string string, brand string, label string")
+    one = naive_bayes.score_words(naive_bayes.fit_word_model(rows, "label"), rows).withColumnRenamed("classes", "first")
+    both = naive_bayes.score_words(naive_bayes.fit_word_model(rows, "label", "brand"), one, text="brand")
+    got = both.withColumn("mixed", candidates.mixed_classes([F.col("first"), F.col("classes")], [3.0, 1.0])).collect()
+    assert len(got) == 5
+    for r in got:
+        assert [c["label"] for c in r["mixed"]] == ["x", "y", "z"] and abs(sum(c["prob"] for c in r["mixed"]) - 1) < 1e-9
+        assert all(abs(m["prob"] - 0.75 * a["prob"] - 0.25 * b["prob"]) < 1e-12 for m, a, b in zip(r["mixed"], r["first"], r["classes"]))
