@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stringloom.operators import neighbours
+from stringloom.operators import neighbours, vectors
 from stringloom.operators.clusters.dbscan import dbscan
 from stringloom.operators.clusters.optics import optics_at
 from stringloom.operators.components import components
@@ -131,3 +131,33 @@ def test_positions_and_hot_keys(spark, monkeypatch):
     out = salted_join(rows, sizes, "k", "n", 400_000, "id")
     assert out.count() == 400_000 and out.select("id").distinct().count() == 400_000
     assert out.where("k = 0").select("n").distinct().count() == 1
+
+
+def test_terms_beyond_the_broadcast_ones_change_nothing(spark, texts, monkeypatch):
+    rows = frame(spark, texts + ["", "solo word word", "solo word word"])
+    whole = term_vectors(rows)
+    want = {r["vec"]: (r["copies"], r["terms"], [round(w, 12) for w in r["weights"]]) for r in whole.vectors.collect()}
+    weights = {(r["id"], r["term"]): round(r["weight"], 12) for r in row_weights(whole).collect()}
+    monkeypatch.setattr(vectors, "COMMON", 5)
+    cut = term_vectors(rows)
+    assert cut.vocabulary > 5 and cut.entries == whole.entries and cut.row_entries == whole.row_entries
+    assert {r["vec"]: (r["copies"], r["terms"], [round(w, 12) for w in r["weights"]]) for r in cut.vectors.collect()} == want
+    assert {(r["id"], r["term"]): round(r["weight"], 12) for r in row_weights(cut).collect()} == weights
+    assert want[90] == (1, [], []) and want[91][0] == 2
+
+
+def test_no_pair_of_vector_and_common_term_is_shuffled(spark, tmp_path):
+    rows = spark.range(2_000).selectExpr("id", "concat('all words of row', id % 1000, ' are here') as string")
+    tv = term_vectors(rows)
+    packed = vectors._packed(tv.members.where("id = vec").select("vec", "copies", F.array(F.lit("all")).alias("terms"), F.array(F.lit(1)).alias("counts")),
+                             tv.terms, tv.vocabulary, tv.entries)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and tv.vectors.count() == 1_000
+
+
+def test_an_id_on_two_strings_has_one_vector_of_both(spark):
+    rows = spark.createDataFrame([(1, "red ring"), (1, "blue ring"), (2, "red bolt")], "id long, string string")
+    tv = term_vectors(rows)
+    names = {r["rank"]: r["term"] for r in tv.terms.collect()}
+    got = {r["vec"]: sorted(names[t] for t in r["terms"]) for r in tv.vectors.collect()}
+    assert got == {1: ["blue", "red", "ring"], 2: ["bolt", "red"]}
