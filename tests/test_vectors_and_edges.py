@@ -161,3 +161,10 @@ def test_an_id_on_two_strings_has_one_vector_of_both(spark):
     names = {r["rank"]: r["term"] for r in tv.terms.collect()}
     got = {r["vec"]: sorted(names[t] for t in r["terms"]) for r in tv.vectors.collect()}
     assert got == {1: ["blue", "red", "ring"], 2: ["bolt", "red"]}
+
+
+def test_pairs_that_share_little_are_dropped_before_their_vectors_are_read(spark):
+    # every two rows share a rare word but no common one, so one shared listed word alone tells nothing
+    rows = frame(spark, [f"k{i // 2} " + " ".join(f"own{i}x{j}" for j in range(8)) for i in range(40)] + ["near copy of some words", "near copy of some word"])
+    kept = {(r["a"], r["b"]) for r in neighbours.candidate_pairs(term_vectors(rows).vectors, 0.9).collect()}
+    assert kept == {(40, 41)}
