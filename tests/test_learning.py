@@ -104,3 +104,23 @@ def test_word_models_of_two_columns_are_mixed_class_by_class(spark):
     for r in got:
         assert [c["label"] for c in r["mixed"]] == ["x", "y", "z"] and abs(sum(c["prob"] for c in r["mixed"]) - 1) < 1e-9
         assert all(abs(m["prob"] - 0.75 * a["prob"] - 0.25 * b["prob"]) < 1e-12 for m, a, b in zip(r["mixed"], r["first"], r["classes"]))
+
+
+def test_common_words_are_weighed_where_a_row_is_read(spark, monkeypatch):
+    data = [(1, "p", "red red ring"), (2, "q", "blue ring bolt"), (3, "p", "red oak"), (None, "q", "blue ring"), (1, "q", "oak oak bolt"), (4, None, "ring ring new"), (5, "p", None)]
+    rows = spark.createDataFrame(data, "id long, label string, string string")
+    model = naive_bayes.fit_word_model(rows, "label")
+    found, joined = [], naive_bayes.lookup_join
+
+    def scored():
+        got = naive_bayes.score_words(model, rows).collect()
+        return sorted((r["id"] or 0, r["label"] or "", [round(c["prob"], 9) for c in r["classes"]]) for r in got)
+
+    monkeypatch.setattr(naive_bayes, "lookup_join", lambda many, one, key, total, *a: found.append(total) or joined(many, one, key, total, *a))
+    all_common = scored()
+    monkeypatch.setattr(naive_bayes, "COMMON", 3)
+    some = scored()
+    monkeypatch.setattr(naive_bayes, "ENTRIES", 0)
+    none = scored()
+    assert all_common == some == none
+    assert found[0] == 1 and found[0] < found[1] < found[2]
