@@ -1,7 +1,7 @@
 """Quality rules judged by an isolation forest over rule statistics.
 
 Every text gives a row of rule statistics. Random splits isolate odd rows in few steps (Liu et al. 2008); the limit on the
-path length comes from labelled rows: it is the one that tells label 0 from label 1 best among those that reject at most a
+path length comes from all labelled rows: it is the one that tells label 0 from label 1 best among those that reject at most a
 stated share of the label-1 rows.
 """
 
@@ -13,10 +13,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from ..plans.ranking import with_position
+from .runtime import prepare, written
 from .words import Words, signed, window_hashes
 
 #: Counts of the base rules, then the ratios that the forest splits on.
@@ -26,6 +27,8 @@ RATIOS = ("log_words", "word_length", "symbol_share", "duplicate_lines", "repeat
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 REPEAT_PERCENT = 30
+#: Trees of the forest, rows of each, the share of label-1 rows that the limit may reject, and the seed of the draws.
+TREES, LEAF, REJECT, SEED = 200, 64, 0.005, 5
 
 _LEAD = np.zeros(256, dtype=np.int64)
 _LEAD[:0x80] = 1
@@ -176,8 +179,8 @@ def grown_tree(rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray,
     return table[:, 0].astype(np.int64), table[:, 1], table[:, 2].astype(np.int64), table[:, 3].astype(np.int64), table[:, 4]
 
 
-def fit_forest(rows: np.ndarray, labels: np.ndarray, trees: int = 200, leaf_size: int = 64, reject_at_most: float = 0.005,
-               seed: int = 5) -> Forest:
+def fit_forest(rows: np.ndarray, labels: np.ndarray, trees: int = TREES, leaf_size: int = LEAF, reject_at_most: float = REJECT,
+               seed: int = SEED) -> Forest:
     """Forest over ``rows``, each tree on ``leaf_size`` of them; the limit is calibrated on the labels (1 good, 0 bad).
 
     Without both labels nothing but the base rules rejects.
@@ -197,6 +200,12 @@ def fit_forest(rows: np.ndarray, labels: np.ndarray, trees: int = 200, leaf_size
     return forest
 
 
+def _marked(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the label rows that hold 0 or 1."""
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    return marked.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, where: Column | None = None,
                     even: bool = True) -> DataFrame:
     """At most about ``bound`` labelled rows (doc_id, text, label), chosen by a hash of the id.
@@ -204,8 +213,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     ``even`` splits them over the two label values, otherwise the values keep their shares. The share taken follows from the counts,
     so the expected size is at most ``bound`` at any scale; the sample is the same on every run.
     """
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    marked = marked.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    marked = _marked(labels, label)
     if where is not None:
         marked = marked.where(where)
     marked = marked.groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -220,14 +228,61 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     return rows.join(F.broadcast(chosen), "doc_id")
 
 
+def _calibrated(scored: DataFrame, reject_at_most: float = REJECT) -> float:
+    """The limit that ``fit_forest`` finds, over (doc_id, score, label) of any size: ranks and running counts stay in tables."""
+    sizes = {r["label"]: r["n"] for r in scored.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return 1.0
+    at = math.ceil((sizes[1] - 1) * (1 - reject_at_most))
+    floor = with_position(scored.where("label = 1").select("score", "doc_id"), ["score", "doc_id"]).where(F.col("position") == at).first()["score"]
+    high = scored.where(F.col("score") >= floor).groupBy("score").agg(F.count_if(F.col("label") == 1).alias("kept"), F.count_if(F.col("label") == 0).alias("bad"))
+    high = written(high.repartitionByRange("score").withColumn("slice", F.spark_partition_id()), "high")
+    later = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)  # over one row for each slice
+    above = high.groupBy("slice").agg(F.sum("kept").alias("k"), F.sum("bad").alias("b")).select(
+        "slice", *(F.coalesce(F.sum(c).over(later), F.lit(0)).alias(c) for c in "kb"))
+    inside = Window.partitionBy("slice").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    more = lambda own, rest: F.coalesce(F.sum(own).over(inside), F.lit(0)) + F.col(rest)
+    gain = more("bad", "b") / F.lit(sizes[0]) - 10 * (more("kept", "k") / F.lit(sizes[1]))
+    gains = high.join(F.broadcast(above), "slice").withColumn("gain", gain).where((F.col("bad") > 0) | (F.col("score") == floor))
+    best = gains.orderBy(F.desc("gain"), "score").first()
+    return best["score"] if best["gain"] > 0 else 1.0
+
+
 def fitted_forest(docs: DataFrame, labels: DataFrame, bound: int = 6_000) -> Forest:
-    """Forest fitted on at most about ``bound`` labelled rows; only their statistics reach the driver."""
-    sample = labelled_sample(docs, labels, "quality", bound, even=False)
-    marked = sample.select("doc_id", "label").dropDuplicates(["doc_id"])
-    rows = rule_statistics(sample).dropDuplicates(["doc_id"]).join(marked, "doc_id")
-    got = rows.where(~base_failed()).select("doc_id", "ratios", "label").orderBy("doc_id").toArrow()
-    values = np.array(got.column("ratios").to_pylist(), dtype=float).reshape(-1, len(RATIOS))
-    return fit_forest(values, got.column("label").to_numpy().astype(int))
+    """Forest fitted on all labelled rows.
+
+    Up to ``bound`` rows are fitted on the driver. Of more rows, each tree draws its few from all of them, so only these reach the driver, and the
+    limit is calibrated on the scores of all by tables.
+    """
+    marked = _marked(labels, "quality").groupBy("doc_id").agg(F.min("label").alias("label"))
+    each = rule_statistics(docs).select("doc_id", base_failed().alias("failed"), "ratios").join(marked, "doc_id")
+    # rows that share an id count once
+    once = each.groupBy("doc_id", "label").agg(F.min(F.struct("failed", "ratios")).alias("r"))
+    rows = written(once.where(~F.col("r.failed")).select("doc_id", "label", "r.ratios"), "labelled")
+    total = rows.count()
+    if total <= bound:
+        got = rows.orderBy("doc_id").toArrow()
+        return fit_forest(_matrix(got.column("ratios")), got.column("label").to_numpy().astype(int))
+    rng = np.random.default_rng(SEED)
+    size = min(LEAF, total)
+    drawn = [rng.choice(total, size, replace=False) for _ in range(TREES)]
+    places = np.unique(np.concatenate(drawn))
+    wanted = docs.sparkSession.createDataFrame(pa.table({"position": places}))
+    got = with_position(rows.select("doc_id", "ratios"), ["doc_id"]).join(F.broadcast(wanted), "position").orderBy("position").toArrow()
+    values = _matrix(got.column("ratios"))
+    forest = Forest([grown_tree(values[np.searchsorted(places, own)], rng) for own in drawn], size)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.scores(_matrix(batch.column(2)))), batch.column(1)], names=["doc_id", "score", "label"])
+
+    forest.limit = _calibrated(written(rows.mapInArrow(score, "doc_id long, score double, label int"), "scored"))
+    return forest
+
+
+def _matrix(ratios: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows x RATIOS of a list column."""
+    return np.array(ratios.to_pylist(), dtype=float).reshape(-1, len(RATIOS))
 
 
 def judged(docs: DataFrame, forest: Forest) -> DataFrame:

@@ -187,3 +187,22 @@ def test_empty_tables(spark, tables, operator):
     assert operator(docs.where("false"), labels).count() == 0
     assert operator(docs.limit(5), labels.where("false")).count() == 5
     assert languages.languages(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("bound", [0, 50])
+def test_the_limit_of_the_rules_comes_from_all_labelled_rows(tables, bound):
+    docs, labels = tables
+    forest = rules.fitted_forest(docs, labels, bound)
+    known, rows = truth(labels, "quality"), {}
+    for r in rules.rule_statistics(docs).where(~rules.base_failed()).collect():
+        if r["doc_id"] in known:
+            rows[r["doc_id"]] = r["ratios"]
+    assert len(rows) > 100
+    scores, label = forest.scores(np.array(list(rows.values()))), np.array([known[i] for i in rows])
+    kept, bad = scores[label == 1], scores[label == 0]
+    floor = np.quantile(kept, 0.995, method="higher")
+    limits = np.unique(np.concatenate([bad[bad > floor], [floor]]))
+    gain = [(bad > x).mean() - 10 * (kept > x).mean() for x in limits]
+    assert forest.limit == pytest.approx(limits[int(np.argmax(gain))], abs=1e-12) and max(gain) > 0
+    alone = rules.fitted_forest(docs, labels.where("quality = 1"), bound)
+    assert alone.limit == 1.0 and len(alone.trees) == 200
