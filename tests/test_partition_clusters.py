@@ -145,3 +145,27 @@ def test_tiles_of_any_size_give_the_same_neighbours(spark, texts, monkeypatch):
     assert [r[:2] for r in whole] == [r[:2] for r in cut] and np.allclose([r[2] for r in whole], [r[2] for r in cut])
     d = brute.distances(brute.tfidf([*texts, ""]))
     assert np.allclose([r[2] for r in whole], [d[r[0], r[1]] for r in whole], atol=1e-7)
+
+
+def test_centres_are_met_where_a_vector_is_read(spark, texts, monkeypatch):
+    from stringloom.operators.clusters import kmeans as km
+    from stringloom.operators.vectors import term_vectors
+    tv = term_vectors(spark.createDataFrame(list(enumerate(texts + ["", "solo"])), "id long, string string"))
+    whole = km.fitted_kmeans(tv, 5)
+    squares = km._squares(whole.centres, 5)
+    found = km.centre_distances(tv.vectors, tv, whole.centres, squares)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    near = lambda f: {r["vec"]: [(e["c"], round(e["d2"], 9)) for e in r["near"]] for r in f.collect()}
+    labels = lambda f: {r["vec"]: r["label"] for r in f.rows.collect()}
+    want = near(found)
+    # few held terms: the others are joined; and a full count in every round gives the same clusters as counting what changed
+    monkeypatch.setattr(km, "COMMON", 5)
+    assert near(km.centre_distances(tv.vectors, tv, whole.centres, squares)) == want
+    cut = km.fitted_kmeans(tv, 5)
+    assert labels(cut) == labels(whole) and cut.asked == whole.asked
+    assert all(abs(a - b) < 1e-9 for a, b in zip(cut.objective, whole.objective))
+    cells = lambda f: {(r["c"], r["term"]): r["x"] for r in f.centres.collect() if abs(r["x"]) > 1e-12}
+    one, other = cells(whole), cells(cut)
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-9 for k in one)
+    monkeypatch.setattr(km, "LIMIT", 0)
+    assert near(km.centre_distances(tv.vectors, tv, whole.centres, squares)) == want
