@@ -169,3 +169,26 @@ def test_centres_are_met_where_a_vector_is_read(spark, texts, monkeypatch):
     assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-9 for k in one)
     monkeypatch.setattr(km, "LIMIT", 0)
     assert near(km.centre_distances(tv.vectors, tv, whole.centres, squares)) == want
+
+
+@pytest.mark.parametrize(("rows", "block"), [(1_024, 8_192), (7, 8_192), (7, 13)])
+def test_a_pair_of_blocks_serves_both_directions(spark, texts, monkeypatch, rows, block):
+    from stringloom.operators import tiles
+    vectors = term_vectors(spark.createDataFrame(list(enumerate([*texts, ""])), "id long, string string")).vectors.select("vec", "terms", "weights")
+
+    def every(left, right, dots):
+        row, column = np.indices(dots.shape)
+        return {"vec": left["vec"][row.ravel()], "to": right["vec"][column.ravel()], "dot": dots.ravel()}
+
+    monkeypatch.setattr(tiles, "ROWS", rows)
+    monkeypatch.setattr(tiles, "BLOCK", block)
+    got = [sorted((r["vec"], r["to"], round(r["dot"], 9) + 0.0) for r in f.collect())
+           for f in (tiles.meet_all(vectors, every, "vec long, to long, dot double"), tiles.meet(vectors, vectors, every, "vec long, to long, dot double"))]
+    assert len(got[0]) == vectors.count() ** 2 and got[0] == got[1]
+
+
+def test_a_row_meets_few_blocks(spark):
+    from stringloom.operators import tiles
+    rows = spark.range(200_000).select("id", F.array(F.col("id")).alias("terms"))
+    assert tiles.blocks_for(rows) == 25  # not 196
+    assert tiles.blocks_for(rows.limit(900)) == 1
