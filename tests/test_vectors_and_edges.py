@@ -11,6 +11,7 @@ from stringloom.operators.components import components
 from stringloom.operators.vectors import NoWords, rejected_strings, row_weights, term_vectors
 from stringloom.plans import trees
 from stringloom.plans.ranking import with_position
+from stringloom.plans.scratch import written
 from stringloom.plans.skew import salted_join
 from tests import brute
 
@@ -155,6 +156,21 @@ def test_no_pair_of_vector_and_common_term_is_shuffled(spark, tmp_path):
     assert "Exchange" not in plan and tv.vectors.count() == 1_000
 
 
+def test_words_are_not_shuffled_to_collapse_copies(spark, monkeypatch, tmp_path):
+    kept = {}
+    monkeypatch.setattr(vectors, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    rows = spark.createDataFrame([(3, "red ring"), (1, "ring red"), (2, "bolt"), (None, "bolt"), (None, "nut"), (4, ""), (1, "ring red")], "id long, string string")
+    tv = term_vectors(rows)
+    assert "terms" not in kept["groups"].columns  # a group is its key, a row and a count
+    assert {(r["vec"], r["copies"], len(r["terms"])) for r in tv.vectors.collect()} == {(1, 3, 2), (2, 2, 1), (4, 1, 0)}
+    assert {r["term"]: r["df"] for r in tv.terms.collect()} == {"red": 3, "ring": 3, "bolt": 2}
+    assert (tv.rows, tv.entries, tv.row_entries, tv.shared_ids) == (7, 3, 8, False)
+    # id 1 stands on two rows of one vector, so its entries stand there twice; no vector without copies takes part in a join
+    assert sorted((r["id"], r["term"]) for r in row_weights(tv).collect() if r["id"] is not None) == [
+        (1, "red"), (1, "red"), (1, "ring"), (1, "ring"), (2, "bolt"), (3, "red"), (3, "ring")]
+    assert [r["term"] for r in row_weights(tv).where("id is null").collect()] == ["bolt"]
+
+
 def test_an_id_on_two_strings_has_one_vector_of_both(spark):
     rows = spark.createDataFrame([(1, "red ring"), (1, "blue ring"), (2, "red bolt")], "id long, string string")
     tv = term_vectors(rows)
