@@ -22,24 +22,28 @@ from ..plans.scratch import written
 TIME_LIMIT = 14_400
 INFER_LIMIT = 0.05
 ENSEMBLE = "WeightedEnsemble_L2Best"
+#: Megabytes of rows whose gradient is added up at once; for each block a task fills a matrix of all classes and columns, so small blocks cost more than their rows.
+STACKED = 16.0
 
 
 def _learners(seed: int) -> dict:
     """Candidates by name; trees read the narrow feature columns."""
     return {
-        "LogisticRegression": LogisticRegression(featuresCol="wide", maxIter=50, regParam=1e-4),
+        "LogisticRegression": LogisticRegression(featuresCol="wide", maxIter=50, regParam=1e-4, maxBlockSizeInMB=STACKED),
         "NaiveBayes": NaiveBayes(featuresCol="wide"),
         "DecisionTree": DecisionTreeClassifier(featuresCol="narrow", maxDepth=8, seed=seed),
         "RandomForest": RandomForestClassifier(featuresCol="narrow", numTrees=20, maxDepth=8, seed=seed),
     }
 
 
-def _features() -> Pipeline:
-    """Hashed word counts weighed by idf, in a wide and a narrow form; both widths are fixed."""
-    stages = [RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False, toLowercase=True)]
-    for name, width in (("wide", 1 << 16), ("narrow", 1 << 10)):
-        stages += [HashingTF(inputCol="words", outputCol=f"{name}_counts", numFeatures=width), IDF(inputCol=f"{name}_counts", outputCol=name)]
-    return Pipeline(stages=stages)
+def _fitted_features(data: DataFrame) -> tuple[PipelineModel, DataFrame]:
+    """Hashed word counts weighed by idf, in a wide and a narrow form; both widths are fixed. And ``data`` with them, its texts split only once."""
+    tokens = RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False, toLowercase=True)
+    hashed = {name: HashingTF(inputCol="words", outputCol=f"{name}_counts", numFeatures=width) for name, width in (("wide", 1 << 16), ("narrow", 1 << 10))}
+    counted = written(PipelineModel([tokens, *hashed.values()]).transform(data).drop("text", "words"), "word_counts")
+    weighed = {name: IDF(inputCol=f"{name}_counts", outputCol=name).fit(counted) for name in hashed}
+    stages = [tokens] + [stage for name in hashed for stage in (hashed[name], weighed[name])]
+    return PipelineModel(stages), PipelineModel(list(weighed.values())).transform(counted)
 
 
 def joined_text(columns: Sequence[str]) -> Column:
@@ -146,8 +150,8 @@ def train_candidates(rows: DataFrame, label: str, text_columns: Sequence[str], k
         F.col(key).alias("key"), F.col(label).cast("string").alias("label"), joined_text(text_columns).alias("text"),
         F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).alias("fold"))
     indexer: StringIndexerModel = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc").fit(data)
-    features = _features().fit(data)
-    data = written(features.transform(indexer.transform(data)).select("key", "target", "fold", "wide", "narrow"), "training")
+    features, data = _fitted_features(indexer.transform(data).drop("label"))
+    data = written(data.select("key", "target", "fold", "wide", "narrow"), "training")
     total = data.count()
     models, board, held = {}, [], None
     for name, learner in _learners(seed).items():

@@ -124,3 +124,19 @@ def test_common_words_are_weighed_where_a_row_is_read(spark, monkeypatch):
     none = scored()
     assert all_common == some == none
     assert found[0] == 1 and found[0] < found[1] < found[2]
+
+
+def test_texts_are_split_once_for_all_features(spark, monkeypatch):
+    fitted_on = []
+
+    class Recorded(candidates.IDF):
+        def fit(self, data):
+            fitted_on.append(data.columns)
+            return super().fit(data)
+
+    monkeypatch.setattr(candidates, "IDF", Recorded)
+    data = spark.createDataFrame([(1, "red ring red"), (2, ""), (3, "blue bolt"), (None, "ring")], "key long, text string")
+    features, got = candidates._fitted_features(data)
+    assert fitted_on == [["key", "wide_counts", "narrow_counts"]] * 2  # neither texts nor words are read again
+    want = {r["key"]: (r["wide"], r["narrow"]) for r in features.transform(data).collect()}
+    assert {r["key"]: (r["wide"], r["narrow"]) for r in got.collect()} == want and len(want) == 4
